@@ -96,6 +96,11 @@ def census_region(state: Column | str, legacy: bool = False) -> Column:
     return recode(state, regions, codes.OTHER_REGION)
 
 
+def all_present(columns: Iterable[str]) -> Column:
+    """Every column holds a value. Written as IS NOT NULL tests, which file scans can use."""
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
+
+
 def present(column: Column | str) -> Column:
     """1 when the column holds a value."""
     return as_column(column).isNotNull().cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.columns import flag, present
+from ..functions.columns import all_present, flag, present
 
 CLAIM_KEYS = ("BENE_ID", "STATE_CD", "CLM_ID")
 
@@ -27,8 +27,8 @@ def assemble_claims(
     join key, so a claim number used again in another month does not match.
     """
     keys = [*keys, *([month] if month else [])]
-    wanted = headers.where(F.col(claim_type).isin(*types)).dropna(subset=keys)
-    return lines.dropna(subset=keys).join(wanted, keys, "inner")
+    wanted = headers.where(F.col(claim_type).isin(*types) & all_present(keys))
+    return lines.where(all_present(keys)).join(wanted, keys, "inner")
 
 
 def presence_flags(lines: DataFrame, fields: Mapping[str, str], any_of: Mapping[str, Sequence[str]] = {}) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.columns import county_key
+from ..functions.columns import all_present, county_key
 from .relational import exclusive, names, one_row_per, restrict
 
 MEMBER_KEYS = ("beneID", "state")
@@ -49,7 +49,7 @@ def study_sample(
     demo: beneID, state, age, disabled; months: beneID, state, medicareMonths,
     medicaidMonths; county: beneID, state, county_code.
     """
-    members = single_state_members(demo).dropna(subset=list(MEMBER_KEYS))
+    members = single_state_members(demo).where(all_present(MEMBER_KEYS))
     members = one_row_per(members.select(*MEMBER_KEYS, "age", "disabled"), MEMBER_KEYS)
     members = without_states(members, excluded_states)
     members = eligible(members.join(months, list(MEMBER_KEYS), "inner"), age_limit)

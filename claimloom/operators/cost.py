@@ -78,6 +78,36 @@ def ed_cost(lines: DataFrame, unit: str | Sequence[str], detector: Column | None
     return line_cost(lines.where(ed_visit() if detector is None else detector), unit, "ed", **columns)
 
 
+def service_costs(
+    lines: DataFrame,
+    unit: str | Sequence[str],
+    detector: Column | None = None,
+    claim_type: str = "CLM_TYPE_CD",
+    line_paid: str = "LINE_MDCD_PD_AMT",
+    line_equivalent: str = "LINE_MDCD_FFS_EQUIV_AMT",
+) -> DataFrame:
+    """Total and emergency cost of service lines side by side, from one scan.
+
+    Equals ``line_cost`` left-joined to ``ed_cost``: a unit without emergency
+    lines has NULL there.
+    """
+    is_ed = ed_visit() if detector is None else detector
+    ffs = _paid(claim_type, codes.FEE_FOR_SERVICE, line_paid)
+    mc = _paid(claim_type, codes.ENCOUNTER, line_equivalent)
+    sums = lines.groupBy(*names(unit)).agg(
+        F.sum(ffs).alias("ffs_amount_other"),
+        F.sum(mc).alias("mc_amount_other"),
+        F.sum(F.when(is_ed, ffs)).alias("ffs_amount_ed"),
+        F.sum(F.when(is_ed, mc)).alias("mc_amount_ed"),
+    )
+    return sums.withColumns(
+        {
+            f"total_cost_{s}": F.col(f"ffs_amount_{s}") + F.col(f"mc_amount_{s}")
+            for s in ("other", "ed")
+        }
+    )
+
+
 def combine_costs(base: DataFrame, others: Sequence[DataFrame], unit: str | Sequence[str], how: str = "left") -> DataFrame:
     """Costs side by side per unit.
 
@@ -131,7 +161,7 @@ def unit_costs(costs: DataFrame, percents: DataFrame, unit: str | Sequence[str],
 
 def member_costs(
     members: DataFrame,
-    costs: Sequence[tuple[DataFrame, str]],
+    costs: Sequence[tuple[DataFrame, Sequence[str]]],
     percents: DataFrame,
     pmpy: Mapping[str, str],
     keys: Sequence[str] = ("beneID", "state"),
@@ -140,13 +170,14 @@ def member_costs(
 ) -> DataFrame:
     """Every cohort member's cost, zero for those without claims, and its avoidable part.
 
+    ``costs`` pairs a member-level cost table with the columns taken from it.
     Shares and months are the county's; pass another ``months`` column of the
     members to divide by their own.
     """
     out = members
-    for cost, column in costs:
-        out = out.join(cost.select(*keys, column), list(keys), "left")
-    out = out.fillna(0, subset=[column for _, column in costs])
+    for table, columns in costs:
+        out = out.join(table.select(*keys, *columns), list(keys), "left")
+    out = out.fillna(0, subset=[c for _, columns in costs for c in columns])
     return with_pmpy(avoidable_cost(out.join(percents, unit, "left")), pmpy, months)
 
 

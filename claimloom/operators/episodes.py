@@ -64,9 +64,12 @@ def _number_intervals(
     """
     ordered = W.partitionBy(*keys).orderBy(start, end, *tie)
     begin, finish = F.col(start), F.col(end)
+    repeats = None
     if rule == "previous":
         prior = F.lag(end).over(ordered)
         own = finish
+        if "_alone" in intervals.columns:
+            repeats = F.col("_alone") == 1
     elif rule == "running_max":
         prior = F.max(end).over(ordered.rowsBetween(W.unboundedPreceding, -1))
         own = F.greatest(F.col("_prior_end"), finish)
@@ -80,7 +83,7 @@ def _number_intervals(
     out = out.withColumns(
         {
             "_new": _starts_new(begin, F.col("_prior_end"), gap_days),
-            "_repeats": _starts_new(begin, own, gap_days),
+            "_repeats": _starts_new(begin, own, gap_days) if repeats is None else repeats,
         }
     )
     started = F.col("_new").cast("long") + F.when(F.col("_repeats"), F.col("_copies") - 1).otherwise(0)
@@ -185,16 +188,18 @@ def collapse_episodes(
     its columns ``carry`` come along.
     """
     keys = list(keys)
-    finish = F.col(end)
-    cannot_repeat = finish.isNull() | F.coalesce(
-        F.col(start) > F.date_add(finish, gap_days), F.lit(False)
-    )
-    # Copies of a normal interval merge; those that stand alone keep their measures.
-    apart = F.when(cannot_repeat, F.struct(*maxima)) if maxima else F.lit(None).cast("string")
+    begin, finish = F.col(start), F.col(end)
+    alone = _starts_new(begin, finish, gap_days)
+    # Copies of a normal interval merge; those that may stand alone keep their measures.
+    apart = F.when(alone, F.struct(*maxima)) if maxima else F.lit(None).cast("string")
     intervals = (
-        events.withColumn("_apart", apart)
+        events.withColumns({"_apart": apart, "_alone": alone.cast("int")})
         .groupBy(*keys, start, end, "_apart")
-        .agg(F.count(F.lit(1)).alias("_copies"), *[F.max(c).alias(c) for c in maxima])
+        .agg(
+            F.count(F.lit(1)).alias("_copies"),
+            F.max("_alone").alias("_alone"),
+            *[F.max(c).alias(c) for c in maxima],
+        )
     )
     if members is not None:
         intervals = intervals.join(members.select(*keys, *carry), keys, "inner")
@@ -209,7 +214,9 @@ def collapse_episodes(
         *[F.max(c).alias(c) for c in maxima], F.min(start).alias(start), F.max(end).alias(end)
     )
     # The further copies of an interval that stands alone. They are written out
-    # in chunks dealt to all tasks, however many one interval has.
+    # in chunks dealt to all tasks, however many one interval has. The filter
+    # is on aggregates, so this branch starts from the shuffled intervals and
+    # reads the events no second time.
     chunk = F.floor((F.col("_copies") - 2) / COPIES_PER_CHUNK)
     further = (
         numbered.where(lone)

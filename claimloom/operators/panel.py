@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.columns import any_all_flag, bands, county_key, enrolment_status, recode
+from ..functions.columns import all_present, any_all_flag, bands, county_key, enrolment_status, recode
 from .relational import one_row_per
 
 
@@ -51,7 +51,7 @@ def monthly_panel(
         for m in months
     ]
     flat = (
-        wide.dropna(subset=list(keys))
+        wide.where(all_present(keys))
         .groupBy(*[F.col(source).alias(out) for source, out in keys.items()])
         .agg(*aggregates)
     )
@@ -110,7 +110,7 @@ def demographics(raw: DataFrame) -> DataFrame:
         **recoded,
         "disabled": any_all_flag(codes.DISABILITY_FLAGS),
     }
-    return raw.dropna(subset=["BENE_ID", "STATE_CD"]).select(*[c.alias(n) for n, c in out.items()])
+    return raw.where(all_present(["BENE_ID", "STATE_CD"])).select(*[c.alias(n) for n, c in out.items()])
 
 
 def member_demographics(recoded: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import all_present
+
 
 def names(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -21,7 +23,7 @@ def exclusive(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     keys = names(keys)
     rest = [c for c in df.columns if c not in keys]
     counted = (
-        df.dropna(subset=keys)
+        df.where(all_present(keys))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in rest])
     )

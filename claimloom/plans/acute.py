@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_match, ed_visit
+from ..functions.columns import any_match, ed_visit, flag
 from ..operators import classify, episodes, geography, rates
 
 EVENT_COLUMNS = ("beneID", "state", "CLM_ID", "StartDate", "EndDate", "DGNS_CD_1", "EDvisit", "inpatientVisit")
@@ -38,6 +38,30 @@ def acute_events(
     return stays.select(*columns).unionByName(visits.select(*columns))
 
 
+def acute_events_in_one_pass(
+    lines: DataFrame,
+    is_stay: Column,
+    is_visit: Column,
+    start: str = "SRVC_BGN_DT",
+    end: str = "SRVC_END_DT",
+    columns: Sequence[str] = EVENT_COLUMNS,
+) -> DataFrame:
+    """The same events from one dataset holding both kinds of line, read once."""
+    stay = F.coalesce(is_stay, F.lit(False))
+    return (
+        lines.where(stay | is_visit)
+        .withColumns(
+            {
+                "StartDate": F.col(start).cast("date"),
+                "EndDate": F.col(end).cast("date"),
+                "EDvisit": flag(~stay),
+                "inpatientVisit": flag(stay),
+            }
+        )
+        .select(*columns)
+    )
+
+
 def classified_visits(events: DataFrame, ed_flags: DataFrame, ip_codes: DataFrame, code: str = "DGNS_CD_1") -> DataFrame:
     """Events with the lookup flags and the six visit flags.
 

@@ -221,7 +221,7 @@ def exclusive_keys(spark, folder):
     with_views("select claim_id, line_num, claim_type, line_paid from v_line join v_header using (claim_id)"),
 )
 def inner_join(spark, folder):
-    lines = testbed.lines(spark, folder, parts=False)
+    lines = testbed.lines(spark, folder, False)
     return (
         lines.join(testbed.headers(spark, folder), "CLM_ID", "inner")
         .select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.columns import any_match
 from ...operators import cohort, cost, geography, relational, variation
 from .. import testbed
-from ..testbed import with_views
+from ..testbed import per_session, with_views
 from .episodes import claims
 from .registry import query
 from .utilisation import (
@@ -24,6 +24,7 @@ SQL_UNITS = {"state": "state", "county": "fips_code, state", "member": "member_i
 AMOUNTS = {"line_paid": "line_paid", "line_equivalent": "line_equiv"}
 
 
+@per_session
 def cost_lines(spark, folder, parts=True):
     """Claim lines with the member's state and county."""
     people = testbed.members(spark, folder).select("beneID", "state", "fips_code")
@@ -31,12 +32,12 @@ def cost_lines(spark, folder, parts=True):
 
 
 def inpatient(spark, folder, unit):
-    stays = cost_lines(spark, folder, parts=False).where(F.col("file_code") == "F")
+    stays = cost_lines(spark, folder, False).where(F.col("file_code") == "F")
     return cost.inpatient_cost(stays, UNITS[unit], line_equivalent="line_equiv")
 
 
 def other(spark, folder, unit):
-    services = cost_lines(spark, folder, parts=False).where(F.col("file_code") == "O")
+    services = cost_lines(spark, folder, False).where(F.col("file_code") == "O")
     return cost.line_cost(services, UNITS[unit], **AMOUNTS)
 
 
@@ -45,6 +46,12 @@ def emergency(spark, folder, unit):
     return cost.ed_cost(services, UNITS[unit], any_match(testbed.ED_SIGNALS), **AMOUNTS)
 
 
+def services(spark, folder, unit):
+    """Other and emergency cost together, as the total-cost study needs both."""
+    lines = cost_lines(spark, folder).where(F.col("file_code") == "O")
+    return cost.service_costs(lines, UNITS[unit], any_match(testbed.ED_SIGNALS), **AMOUNTS)
+
+
 def doubles(df):
     """Decimal amounts as doubles, the type the check compares."""
     wanted = {c: F.col(c).cast("double") for c, t in df.dtypes if t.startswith("decimal")}
@@ -108,7 +115,7 @@ for _unit in UNITS:
 
 
 # Nations standing for the states whose payment data is usable.
-SCOPE = ("BRAZIL", "CHINA", "FRANCE", "GERMANY", "INDIA", "JAPAN", "KENYA", "PERU")
+SCOPE = tuple(f"NATION_{i}" for i in range(0, 24, 3))
 
 
 @query(
@@ -124,7 +131,7 @@ SCOPE = ("BRAZIL", "CHINA", "FRANCE", "GERMANY", "INDIA", "JAPAN", "KENYA", "PER
 def scoped_claims(spark, folder):
     kept = cohort.minimum_population(sizes(spark, folder), MINIMUM)
     sample = cohort.screen(testbed.members(spark, folder), kept)
-    scoped = cohort.scoped_claims(cost_lines(spark, folder, parts=False), sample, SCOPE)
+    scoped = cohort.scoped_claims(cost_lines(spark, folder, False), sample, SCOPE)
     return scoped.select(
         F.col("CLM_ID").alias("claim_id"), F.col("LINE_NUM").alias("line_num"),
         F.col("beneID").alias("member_id"), "state",
@@ -135,8 +142,7 @@ COSTS = ["inpatient_cost", "total_cost_ed", "total_cost_other"]
 
 
 def combined(spark, folder, unit):
-    parts = [emergency(spark, folder, unit), other(spark, folder, unit)]
-    return cost.combine_costs(inpatient(spark, folder, unit), parts, UNITS[unit]).select(*UNITS[unit], *COSTS)
+    return cost.combine_costs(inpatient(spark, folder, unit), [services(spark, folder, unit)], UNITS[unit]).select(*UNITS[unit], *COSTS)
 
 
 def combined_view(unit: str) -> str:
@@ -274,10 +280,16 @@ def _register_study(study: str) -> None:
     ]
 
     def member_rows(spark, folder):
-        builders = {"inpatient_cost": inpatient, "total_cost_ed": emergency, "total_cost_other": other}
+        if study == "total":
+            parts = [
+                (services(spark, folder, "member"), ["total_cost_ed", "total_cost_other"]),
+                (inpatient(spark, folder, "member"), ["inpatient_cost"]),
+            ]
+        else:
+            parts = [(study_costs(spark, folder, study, "member"), spec["costs"])]
         return cost.member_costs(
             testbed.members(spark, folder).select("beneID", "state", "fips_code"),
-            [(builders[c](spark, folder, "member"), c) for c in spec["costs"]],
+            parts,
             percents(spark, folder, "county").drop("state"),
             {"pmpy": spec["of"]},
         )

@@ -8,7 +8,7 @@ from ...functions import codes
 from ...functions.columns import bands
 from ...operators import adjust, classify, cohort, geography, rates, variation
 from .. import acute, testbed
-from ..testbed import with_views
+from ..testbed import per_session, with_views
 from .episodes import classified
 from .panel import AGE_CASE, COMPOSITION, age_mix
 from .registry import query
@@ -18,8 +18,9 @@ ACCURACY = 1_000_000
 UNIT = ["fips_code", "state"]
 
 
+@per_session
 def county_file(spark, folder):
-    found = classified(spark, folder, maxima=classify.VISIT_FLAGS)
+    found = classified(spark, folder, classify.VISIT_FLAGS)
     return acute.county_file(testbed.members(spark, folder), found, UNIT)
 
 
@@ -110,7 +111,7 @@ def min_population(spark, folder):
 )
 def min_population_episodes(spark, folder):
     kept = cohort.minimum_population(sizes(spark, folder), MINIMUM)
-    found = classified(spark, folder, maxima=classify.VISIT_FLAGS)
+    found = classified(spark, folder, classify.VISIT_FLAGS)
     return cohort.screen(found, kept).select(
         F.col("beneID").alias("member_id"), "episode", "fips_code", *classify.CLASSES
     )
@@ -200,7 +201,7 @@ MEMBER_COUNTS = """v_member_counts as (
 
 
 def per_member(spark, folder):
-    found = classified(spark, folder, maxima=classify.VISIT_FLAGS)
+    found = classified(spark, folder, classify.VISIT_FLAGS)
     return rates.member_counts(found, testbed.members(spark, folder))
 
 

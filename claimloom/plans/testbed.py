@@ -7,6 +7,9 @@ same views as SQL for the independent check.
 
 from __future__ import annotations
 
+from functools import wraps
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,25 @@ ED_SCORES = (
 IP_LIST = (("3-MEDIUM", "a"), ("4-NOT SPECIFIED", "b"))
 
 
+_built: WeakKeyDictionary[SparkSession, dict[tuple, DataFrame]] = WeakKeyDictionary()
+
+
+def per_session(build):
+    """Build a view once per session and arguments. A DataFrame is an immutable
+    plan, so queries can share it; nothing is computed or held but the plan."""
+
+    @wraps(build)
+    def shared(spark: SparkSession, *arguments):
+        known = _built.setdefault(spark, {})
+        key = (build.__module__, build.__qualname__, *arguments)
+        if key not in known:
+            known[key] = build(spark, *arguments)
+        return known[key]
+
+    return shared
+
+
+@per_session
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -41,6 +63,7 @@ def _mapped(column: str, mapping: dict[str, str], default: str):
     return out.otherwise(default)
 
 
+@per_session
 def members(spark: SparkSession, folder: str) -> DataFrame:
     """beneID, state, region, fips_code, age, medicaidMonths: one row per customer."""
     nation = table(spark, folder, "nation").join(
@@ -61,6 +84,7 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@per_session
 def headers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(
         F.col("o_custkey").alias("beneID"),
@@ -72,6 +96,7 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@per_session
 def lines(spark: SparkSession, folder: str, parts: bool = True) -> DataFrame:
     """Claim lines; ``parts=False`` leaves out the procedure code and its join."""
     price = F.col("l_extendedprice").cast("decimal(18,2)")
@@ -95,14 +120,17 @@ def lines(spark: SparkSession, folder: str, parts: bool = True) -> DataFrame:
     )
 
 
+@per_session
 def ed_scores(spark: SparkSession) -> DataFrame:
     return inline_table(spark, ED_SCORES, ("dx", "ednp", "pct", "nonemergent"))
 
 
+@per_session
 def ip_list(spark: SparkSession) -> DataFrame:
     return inline_table(spark, IP_LIST, ("dx", "label"))
 
 
+@per_session
 def part_scores(spark: SparkSession, folder: str) -> DataFrame:
     """A score lookup with one diagnosis per part, in exact quarters and eighths."""
     key = F.col("p_partkey")
@@ -114,6 +142,7 @@ def part_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@per_session
 def wide_enrolment(spark: SparkSession, folder: str) -> DataFrame:
     """Eligibility rows with twelve columns per measure: one row per order.
 
@@ -142,6 +171,7 @@ def wide_enrolment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@per_session
 def raw_demographics(spark: SparkSession, folder: str) -> DataFrame:
     """Coded demographics of customers, each code list cycling with the key and some codes NULL."""
     key = F.col("c_custkey")

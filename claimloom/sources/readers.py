@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import codes
+from ..functions.columns import all_present
 
 MONTHS = tuple(f"{m:02d}" for m in range(1, 13))
 
@@ -58,7 +59,7 @@ def project(
     if condition is not None:
         df = df.where(condition)
     if keys:
-        df = df.dropna(subset=list(keys))
+        df = df.where(all_present(keys))
     return df.select(*columns) if columns else df
 
 

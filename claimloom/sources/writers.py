@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None) -> DataFrame:
-    """Overwrite a table and return it as a new scan, so later plans start from the files."""
+    """Overwrite a table and return it as a new scan, so later plans start from the files.
+
+    A partitioned table is rebalanced on its partition columns first: every
+    folder gets few, evenly sized files, and a large partition value is split
+    over many tasks.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

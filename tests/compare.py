@@ -64,7 +64,7 @@ def session(cpus: int = 8):
         SparkSession.builder.master(f"local[{cpus}]").appName("claimloom-check")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
