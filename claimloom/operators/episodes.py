@@ -8,9 +8,10 @@ order for ``rule="previous"`` and the latest end so far for
 
 Members are not equally large, and copies of one event can be many. Whether an
 event starts an episode depends on dates alone, so the ordered pass runs over
-*intervals*: the distinct (start, end) pairs of a member, counted with
-map-side aggregation first. Their number is limited by the calendar, not by
-the number of claims, so the window stays small for any member. Copies of an
+*intervals*: the distinct (start, end) pairs of a member, per diagnosis code
+where one is carried, counted with map-side aggregation first. Their number is
+limited by the calendar and the code list, not by the number of claims, so the
+window stays small for any member. Copies of an
 interval share its episode except in one case, an interval that cannot reach
 its own copy (no end date, or an end more than the gap before its start),
 where every copy is an episode of its own.
@@ -126,35 +127,30 @@ def number_episodes(
     keys = list(keys)
     rest = [c for c in columns if c not in (*keys, start, end)]
     rows = events.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.select(
-        *columns,
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES_PER_CHUNK)),
-                lambda i: F.least(F.lit(COPIES_PER_CHUNK), F.col("_n") - i * COPIES_PER_CHUNK),
-            )
-        ).alias("_chunk", "_size"),
-    )
-    # The slice key is one struct: its equality treats NULL dates as equal, and
-    # the join's partitioning also serves the window after it.
-    part = F.pmod(F.xxhash64(*rest, "_chunk"), F.lit(INTERVAL_SLICES)).alias("_part")
-    rows = rows.withColumn("_slice", F.struct(*keys, start, end, part))
-    slices = (
-        rows.groupBy("_slice")
-        .agg(F.sum("_size").alias("_copies"))
-        .select("_slice", "_slice.*", "_copies")
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES_PER_CHUNK))
+    rows = rows.withColumn("_chunk", F.explode(chunks)).withColumns(
+        {
+            "_size": F.least(F.lit(COPIES_PER_CHUNK), F.col("_n") - F.col("_chunk") * COPIES_PER_CHUNK),
+            "_part": F.pmod(F.xxhash64(*rest, "_chunk"), F.lit(INTERVAL_SLICES)),
+        }
     )
+    # A slice is matched by one struct, whose equality treats NULL dates as
+    # equal, behind its hash, which settles almost every comparison.
+    fields = [*keys, start, end, "_part"]
+    slice_key = {"_hash": F.xxhash64(*fields), "_slice": F.struct(*fields)}
+    slices = rows.groupBy(*fields).agg(F.sum("_size").alias("_copies"))
     numbered = _number_intervals(
         slices, keys, start, end, ["_part"], gap_days, rule, labels=overlap is not None
     )
-    joined = rows.join(numbered.drop(*keys, start, end, "_part"), "_slice")
-    # A row's place in its slice matters only where the slice holds several.
-    within = W.partitionBy("_slice").orderBy(*rest, "_chunk")
-    placed = joined.withColumn(
+    facts = [c for c in numbered.columns if c not in fields]
+    # A row's place in its slice, ahead of the join: both use one sort.
+    within = W.partitionBy(*slice_key).orderBy(*rest, "_chunk")
+    placed = rows.withColumns(slice_key).withColumn(
         "_before",
         F.sum("_size").over(within.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_size"),
     )
-    copies = placed.withColumn(
+    joined = placed.join(numbered.withColumns(slice_key).select(*slice_key, *facts), list(slice_key))
+    copies = joined.withColumn(
         "_j", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_size") - 1))
     )
     out = {
@@ -190,20 +186,25 @@ def collapse_episodes(
     keys = list(keys)
     begin, finish = F.col(start), F.col(end)
     alone = _starts_new(begin, finish, gap_days)
+    # Codes group, numbers combine: a maximum of texts would make Spark sort the
+    # events before the shuffle, while numbers stay in its hash aggregate.
+    types = dict(events.dtypes)
+    coded = [c for c in maxima if types[c] == "string"]
+    combined = [c for c in maxima if c not in coded]
     # Copies of a normal interval merge; those that may stand alone keep their measures.
-    apart = F.when(alone, F.struct(*maxima)) if maxima else F.lit(None).cast("string")
+    apart = F.when(alone, F.struct(*combined)) if combined else F.lit(None).cast("string")
     intervals = (
         events.withColumns({"_apart": apart, "_alone": alone.cast("int")})
-        .groupBy(*keys, start, end, "_apart")
+        .groupBy(*keys, start, end, *coded, "_apart")
         .agg(
             F.count(F.lit(1)).alias("_copies"),
             F.max("_alone").alias("_alone"),
-            *[F.max(c).alias(c) for c in maxima],
+            *[F.max(c).alias(c) for c in combined],
         )
     )
     if members is not None:
         intervals = intervals.join(members.select(*keys, *carry), keys, "inner")
-    numbered = _number_intervals(intervals, keys, start, end, ["_apart"], gap_days, rule)
+    numbered = _number_intervals(intervals, keys, start, end, [*coded, "_apart"], gap_days, rule)
     lone = F.col("_repeats") & (F.col("_copies") > 1)
     shape = [*keys, *carry, episode, *maxima, start, end]
 
