@@ -18,7 +18,7 @@ CLAIM_TYPES = (FEE_FOR_SERVICE, ENCOUNTER)
 ED_REVENUE_CODES = (
     "0450", "0451", "0452", "0453", "0454", "0456", "0457", "0458", "0459", "0981",
 )
-ED_PLACE_CODES = ("23",)
+ED_PLACE_CODES = (23,)
 ED_PROCEDURE_CODES = ("99281", "99282", "99283", "99284", "99285")
 
 # Dual-eligibility codes.

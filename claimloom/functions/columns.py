@@ -26,13 +26,20 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def any_match(signals: Mapping[str, Sequence[str]]) -> Column:
-    """True when any column holds one of its codes; a NULL signal is no match."""
-    tests = [
-        F.coalesce(F.trim(F.col(c).cast("string")).isin(*values), F.lit(False))
-        for c, values in signals.items()
-    ]
-    return reduce(or_, tests)
+def any_match(signals: Mapping[str, Sequence[str | int]]) -> Column:
+    """True when any column holds one of its codes; a NULL signal is no match.
+
+    Integer codes compare by number, so '23' and '023' both match 23 and a code
+    that is no number matches nothing. Text codes compare as they are, a test
+    file scans can use.
+    """
+
+    def test(name: str, values: Sequence[str | int]) -> Column:
+        if all(isinstance(v, int) for v in values):
+            return F.col(name).try_cast("int").isin(*values)
+        return F.col(name).isin(*values)
+
+    return reduce(or_, [F.coalesce(test(c, v), F.lit(False)) for c, v in signals.items()])
 
 
 def ed_visit(
@@ -40,7 +47,7 @@ def ed_visit(
     place: str = "POS_CD",
     procedure: str = "LINE_PRCDR_CD",
     revenue_codes: Sequence[str] = codes.ED_REVENUE_CODES,
-    place_codes: Sequence[str] = codes.ED_PLACE_CODES,
+    place_codes: Sequence[int] = codes.ED_PLACE_CODES,
     procedure_codes: Sequence[str] = codes.ED_PROCEDURE_CODES,
 ) -> Column:
     """Emergency-department line: a revenue, place or procedure code says so."""

@@ -85,7 +85,8 @@ def describe_categories(df: DataFrame, columns: Sequence[str], digits: int = 1)
     """Count and percent of every level of every column, from one scan.
 
     The columns are stacked once, so a row adds one count to each of them and
-    the row total is the same for all.
+    the row total is the sum of all counts over the number of columns. It is a
+    scalar of the level counts, whose shuffle the plan shares.
     """
     cells = [cell for c in columns for cell in (F.lit(c), F.col(c).cast("string"))]
     levels = (
@@ -93,7 +94,7 @@ def describe_categories(df: DataFrame, columns: Sequence[str], digits: int = 1)
         .groupBy("variable", "level")
         .agg(F.count(F.lit(1)).alias("Count"))
     )
-    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    rows = levels.agg((F.sum("Count") / len(columns)).alias("n")).scalar()
     return levels.withColumn("Percentage", F.round(ratio(F.col("Count"), rows, 100), digits))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions import codes
 from ...functions.columns import any_match
 from ...operators import cohort, cost, geography, relational, variation
 from .. import testbed
@@ -11,7 +12,7 @@ from ..testbed import per_session, with_views
 from .episodes import claims
 from .registry import query
 from .utilisation import (
-    ACCURACY, COUNTY_RATES, MINIMUM, SIZES, STATE_RATES, _distribution_sql, rate_county, rate_state,
+    ACCURACY, COUNTY_RATES, MINIMUM, SIZES, STATE_RATES, _distribution_sql, _quantile, rate_county, rate_state,
     sizes, spread_sql,
 )
 
@@ -236,6 +237,17 @@ def _register_study(study: str) -> None:
             unit_costs(spark, folder, study, "county"), "state", {"rate": "pmpy"}, ACCURACY
         )
 
+    @query(
+        f"pmpy_range_distribution_{study}",
+        with_views(
+            _distribution_sql("v_spread", ("range_rate",)),
+            *unit_view(study, "county"),
+            f"v_spread as ({spread_sql('v_unit', 'state', {'rate': 'pmpy'})})",
+        ),
+    )
+    def ranges(spark, folder):
+        return variation.distribution(across_counties(spark, folder), ["range_rate"], accuracy=ACCURACY)
+
     @query(
         f"pmpy_distribution_{study}",
         with_views(_distribution_sql("v_unit", ("pmpy",)), *unit_view(study, "county")),
@@ -362,14 +374,43 @@ def savings_total(spark, folder):
     return rounded(cost.savings_summary(savings_units(spark, folder)))
 
 
+EXTRACTS = {
+    "total": (geography.TOTAL_SPEND_COLUMNS, geography.TOTAL_SPEND_RENAMES),
+    "ed": (geography.ED_SPEND_COLUMNS, geography.ED_SPEND_RENAMES),
+    "ip": (geography.IP_SPEND_COLUMNS, geography.IP_SPEND_RENAMES),
+}
+
+
+def _register_extract(study: str) -> None:
+    columns, renames = EXTRACTS[study]
+
+    @query(
+        f"spend_extract_{study}",
+        with_views(
+            "select " + ", ".join(f"{c} as {renames.get(c, c)}" for c in columns) + " from v_unit",
+            *unit_view(study, "county"),
+        ),
+    )
+    def extract(spark, folder):
+        return geography.release(unit_costs(spark, folder, study, "county"), columns, renames)
+
+
+for _study in EXTRACTS:
+    _register_extract(_study)
+
+
 @query(
-    "spend_extract",
+    "savings_distribution",
     with_views(
-        "select fips_code, state, avoid_ed_cost, avoid_ip_cost, avoid_acute_cost, pmpy as acute_pmpy from v_unit",
-        *unit_view("total", "county"),
+        " union all ".join(
+            f"select '{c}' as measure, {p}::double as point, round({_quantile(c, p)}, 6) as value from v_state_saving"
+            for c in ("pmpy_ed_saving", "pmpy_ip_saving")
+            for p in codes.QUARTILES
+        ),
+        *SAVINGS,
+        f"v_state_saving as (select state, {SUMMARY_COLUMNS} from v_saving group by state)",
     ),
 )
-def spend_extract(spark, folder):
-    return geography.release(
-        unit_costs(spark, folder, "total", "county"), geography.TOTAL_SPEND_COLUMNS, geography.TOTAL_SPEND_RENAMES
-    )
+def savings_distribution(spark, folder):
+    states = rounded(cost.savings_summary(savings_units(spark, folder), "state"))
+    return variation.distribution(states, ["pmpy_ed_saving", "pmpy_ip_saving"], accuracy=ACCURACY)

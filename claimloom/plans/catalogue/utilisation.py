@@ -297,6 +297,20 @@ def _register_variation(kind: str, measures: dict[str, str]) -> None:
         )
 
 
+    @query(
+        f"range_distribution_members_{kind}",
+        with_views(
+            _distribution_sql("v_spread", ("range_rate", "iqr_percent")),
+            MEMBER_COUNTS,
+            f"v_spread as ({spread_sql('v_member_counts', 'fips_code', measures)})",
+        ),
+    )
+    def member_ranges(spark, folder):
+        return variation.distribution(
+            within_county(spark, folder), ["range_rate", "iqr_percent"], accuracy=ACCURACY
+        )
+
+
 for _kind, _measures in variation.CARE_MEASURES.items():
     _register_variation(_kind, _measures)
 

@@ -85,8 +85,12 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @per_session
-def headers(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(
+def headers(spark: SparkSession, folder: str, wanted: bool = False) -> DataFrame:
+    """Claim headers; ``wanted`` keeps the claim types assembly uses, tested on the stored status."""
+    orders = table(spark, folder, "orders")
+    if wanted:
+        orders = orders.where(F.col("o_orderstatus").isin(*STATUS_CLAIM_TYPE))
+    return orders.select(
         F.col("o_custkey").alias("beneID"),
         F.col("o_orderkey").alias("CLM_ID"),
         _mapped("o_orderstatus", STATUS_CLAIM_TYPE, OTHER_CLAIM_TYPE).alias("CLM_TYPE_CD"),

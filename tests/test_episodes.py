@@ -135,6 +135,29 @@ def test_against_model(spark, seed, gap, rule):
     assert Counter((k[0], k[1]) for k in got) == Counter({(m, n): 1 for m, *_, n, _ in numbered})
 
 
+@pytest.mark.parametrize("rule", ["previous", "running_max"])
+def test_diagnosis_and_flag_maxima_against_model(spark, rule):
+    """Codes and numbers are combined in different places; together they must give plain maxima."""
+    events = [(m, s, e, ("abcd"[i % 4], f)) for i, (m, s, e, f) in enumerate(some_events(8))]
+    numbered = model(events, rule=rule)
+    df = spark.createDataFrame(
+        [(m, s, e, dx, f) for m, s, e, (dx, f) in events], "beneID long, StartDate date, EndDate date, dx string, f int"
+    )
+    groups = defaultdict(list)
+    for member, start, end, (dx, f), episode, _ in numbered:
+        groups[member, episode].append((start, end, dx, f))
+    expected = Counter(
+        (
+            m, max(g[2] for g in own), max(g[3] for g in own),
+            min((g[0] for g in own if g[0]), default=None), max((g[1] for g in own if g[1]), default=None),
+        )
+        for (m, _), own in groups.items()
+    )
+    out = episodes.collapse_episodes(df, ["f", "dx"], ["beneID"], rule=rule).collect()
+    assert Counter((r.beneID, r.dx, r.f, r.StartDate, r.EndDate) for r in out) == expected
+    assert len({(r.beneID, r.episode) for r in out}) == len(out)
+
+
 def test_two_keys_and_member_columns(spark):
     events = some_events(3)
     df = frame(spark, events).withColumn("state", F.when(F.col("f") == 1, "ME").otherwise("VA"))
