@@ -115,6 +115,7 @@ def number_episodes(
     rule: str = "previous",
     episode: str = "episode",
     overlap: str | None = "ovlp",
+    few_copies: bool = False,
 ) -> DataFrame:
     """Every event with its episode number (from 1) and overlap label.
 
@@ -122,18 +123,22 @@ def number_episodes(
     over slices by a hash of their content, the ordered pass numbers the
     slices, and each row takes its number from its slice. No task holds more
     than one slice of one interval.
+
+    ``few_copies`` skips counting identical rows. The result is the same; use
+    it where rows carry an identifier, so that copies of one row stay few.
     """
     columns = events.columns
     keys = list(keys)
     rest = [c for c in columns if c not in (*keys, start, end)]
-    rows = events.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES_PER_CHUNK))
-    rows = rows.withColumn("_chunk", F.explode(chunks)).withColumns(
-        {
-            "_size": F.least(F.lit(COPIES_PER_CHUNK), F.col("_n") - F.col("_chunk") * COPIES_PER_CHUNK),
-            "_part": F.pmod(F.xxhash64(*rest, "_chunk"), F.lit(INTERVAL_SLICES)),
-        }
-    )
+    if few_copies:
+        rows = events.withColumns({"_chunk": F.lit(0).cast("long"), "_size": F.lit(1).cast("long")})
+    else:
+        counted = events.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+        chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES_PER_CHUNK))
+        rows = counted.withColumn("_chunk", F.explode(chunks)).withColumn(
+            "_size", F.least(F.lit(COPIES_PER_CHUNK), F.col("_n") - F.col("_chunk") * COPIES_PER_CHUNK)
+        )
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*rest, "_chunk"), F.lit(INTERVAL_SLICES)))
     # A slice is matched by one struct, whose equality treats NULL dates as
     # equal, behind its hash, which settles almost every comparison.
     fields = [*keys, start, end, "_part"]
@@ -150,9 +155,12 @@ def number_episodes(
         F.sum("_size").over(within.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_size"),
     )
     joined = placed.join(numbered.withColumns(slice_key).select(*slice_key, *facts), list(slice_key))
-    copies = joined.withColumn(
-        "_j", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_size") - 1))
-    )
+    if few_copies:
+        copies = joined.withColumn("_j", F.col("_before"))
+    else:
+        copies = joined.withColumn(
+            "_j", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_size") - 1))
+        )
     out = {
         episode: F.when(
             F.col("_repeats"), F.col("_last") - (F.col("_copies") - 1 - F.col("_j"))

@@ -127,6 +127,9 @@ def test_against_model(spark, seed, gap, rule):
     rows_kept = Counter((r.beneID, r.StartDate, r.EndDate, r.f) for r in out.collect())
     assert rows_kept == Counter(events)
 
+    quick = episodes.number_episodes(df, ["beneID"], gap_days=gap, rule=rule, few_copies=True)
+    assert Counter((r.beneID, r.StartDate, r.EndDate, r.episode, r.ovlp) for r in quick.collect()) == got
+
     whole = episodes.collapse_episodes(df, ["f"], ["beneID"], gap_days=gap, rule=rule)
     got = Counter((r.beneID, r.episode, r.f, r.StartDate, r.EndDate) for r in whole.collect())
     # Among copies that stand alone any may carry any number: compare without it.
