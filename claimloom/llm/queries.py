@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, extract, neighbours
+from . import bpe, chat, decontaminate, extract, neighbours
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -58,3 +58,38 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+DECONTAMINATION_SQL = r"""
+with d as (
+  select doc_id, row_number() over () as row,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), b as (
+  select item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), win as (
+  select distinct item_id, least(len(w), 10) as size, array_to_string(w[i:i + 9], ' ') as phrase
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)
+), sizes as (select distinct size from win
+), grams as (
+  select row, size, i, array_to_string(w[i:i + size - 1], ' ') as phrase
+  from (select row, w, size, unnest(range(1, len(w) - size + 2)) as i from d, sizes where len(w) >= size)
+), hit as (select row, i, g.size, item_id from grams g join win using (size, phrase)
+), words as (select row, count(distinct p) as n_hit from (select row, unnest(range(i, i + size)) as p from hit) group by row
+), items as (
+  select row, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct row, cast(item_id as varchar) as item from hit where item_id is not null) group by row
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (row) left join items using (row)
+"""
+
+
+@query("op3_decontamination", DECONTAMINATION_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
