@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, extract, neighbours
+from . import bpe, chat, decontaminate, extract, neighbours, sketches
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -93,3 +93,28 @@ from d left join words using (row) left join items using (row)
 @query("op3_decontamination", DECONTAMINATION_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+NEAR_SQL = r"""
+with recursive d as (
+  select doc_id, row_number() over () as row,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select distinct row, array_to_string(w[i:i + 3], ' ') as shingle
+  from (select row, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)
+), n as (select row, count(*) as n from s group by row
+), links as (
+  select a, b from (select x.row as a, y.row as b, count(*) as c from s x join s y on x.shingle = y.shingle and x.row <> y.row group by 1, 2)
+  join n na on na.row = a join n nb on nb.row = b where 100 * c >= 80 * (na.n + nb.n - c)
+), reach(a, b) as (
+  select row, row from d union select reach.a, links.b from reach join links on links.a = reach.b
+), component as (select a as row, min(doc_id) as component_id from reach join d on d.row = reach.b group by a)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from d left join n using (row) join component using (row)
+"""
+
+
+@query("op9_minhash_near_dedup", NEAR_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.near_duplicates(_table(spark, folder, "documents"))
