@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .columns import table
 
@@ -126,7 +127,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     input is replaced. Rows are independent: no shuffle, and memory is that of
     one row of text and one Arrow batch.
     """
-    schema = docs.drop("ids").schema.add("ids", "array<int>")
+    schema = StructType(docs.drop("ids").schema.fields + StructType.fromDDL("ids array<int>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(path, pattern)
@@ -143,7 +144,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Add `decoded`, the bytes that `ids` stand for; null ids give no bytes."""
-    schema = encoded.drop("decoded").schema.add("decoded", "binary")
+    schema = StructType(encoded.drop("decoded").schema.fields + StructType.fromDDL("decoded binary").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(path, pattern)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, extract, neighbours, sketches
+from . import bpe, chat, decontaminate, extract, lines, neighbours, sketches
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -118,3 +119,12 @@ from d left join n using (row) join component using (row)
 @query("op9_minhash_near_dedup", NEAR_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.near_duplicates(_table(spark, folder, "documents"))
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    left = lines.dedup(_table(spark, folder, "documents"))
+    return left.select(
+        "doc_id", "n_lines", "n_removed", "n_runs", F.length("text").cast("long").alias("n_kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
