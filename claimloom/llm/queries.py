@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, extract, lines, neighbours, sketches
+from . import bpe, chat, decontaminate, extract, lines, neighbours, sketches, suffixes
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -128,3 +128,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", "n_runs", F.length("text").cast("long").alias("n_kept_chars"),
         F.sha2("text", 256).alias("kept_sha256"),
     )
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.report(_table(spark, folder, "documents")).drop("begins", "ends")
