@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, extract, lines, neighbours, sketches, suffixes
+from . import bpe, chat, decontaminate, extract, lines, neighbours, passages, quality, sketches, suffixes
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -118,7 +118,7 @@ from d left join n using (row) join component using (row)
 
 @query("op9_minhash_near_dedup", NEAR_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return sketches.near_duplicates(_table(spark, folder, "documents"))
+    return sketches.near_duplicates(_table(spark, folder, "documents"), size=4)
 
 
 @query("op10_line_dedup")
@@ -133,3 +133,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.report(_table(spark, folder, "documents")).drop("begins", "ends")
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, folder, "labels")))
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.shared_passages(_table(spark, folder, "documents"))

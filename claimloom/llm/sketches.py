@@ -26,7 +26,7 @@ from .columns import as_binary, flat, lower_ascii, mix, prefix, BYTE_CODES, runs
 from .components import components
 from .shared import stored
 
-SHINGLE_WORDS = 4
+SHINGLE_WORDS = 5
 SKETCH = 32
 #: Shared values of two sketches, of SKETCH, that every link has but for the chance stated above.
 LEAST_SHARED = 9
