@@ -142,7 +142,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     many tasks.
     """
     spread = (
-        turns.select("conv_id", "turn", "role", "text")
+        turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
         .repartitionByRange(F.col("conv_id"), F.col("turn"))
         .sortWithinPartitions("conv_id", "turn", "role", "text")
     )

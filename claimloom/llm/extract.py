@@ -4,8 +4,8 @@ A page is read into blocks of text, each with the path of open elements from
 the root to its leaf. Menus, headers, footers, adverts, forms, comments and
 other parts that their element, class, id or role names as such are left out.
 For the rest, text length and punctuation are summed by tag path; the ratios
-per node are smoothed along the page, multiplied and compared with their
-standard deviation. The element that holds the paths above it is the article,
+per node are smoothed along the page, fused with the path's own and compared
+with their standard deviation. The element that holds the paths above it is the article,
 and every block in it is kept.
 """
 
@@ -174,7 +174,8 @@ def _content(found: list[tuple[Node, str]]) -> list[bool]:
         return np.convolve(padded, weights, "valid")
 
     fused = smooth(text_ratio) * (1 + smooth(mark_ratio))
-    by_path = np.bincount(index, fused) / nodes
+    # the neighbourhood carries a path only as far as its own ratios go along
+    by_path = np.sqrt(np.bincount(index, fused) / nodes * text_ratio * (1 + mark_ratio))
     return list(by_path[index] >= THRESHOLD * fused.std())
 
 

@@ -135,12 +135,14 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     lines. An empty table gives no rows.
     """
     base = docs.drop("n_lines", "n_removed", "n_runs")
-    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text"))
+    key = (F.coalesce(base["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(base["text"]))
     runs_of = repeated_runs(base.select(key[0].alias("id"), key[1].alias("h"), "text"), least)
     by_doc = runs_of.groupBy("id", "h", "begin").agg(F.max("length").alias("length")).groupBy("id", "h").agg(
         F.collect_list("begin").alias("begins"), F.collect_list("length").alias("lengths")
     ).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "begins", "lengths")
-    joined = base.join(by_doc, (key[0] == F.col("__id")) & (key[1] == F.col("__h")), "left").drop("__id", "__h")
+    joined = base.join(by_doc, (key[0] == by_doc["__id"]) & (key[1] == by_doc["__h"]), "left").select(
+        *(base[c] for c in base.columns), by_doc["begins"], by_doc["lengths"]
+    )
     added = StructType.fromDDL("n_lines long, n_removed long, n_runs long")
     schema = StructType(base.schema.fields + added.fields)
     text_at, width = base.columns.index("text"), len(base.columns)
