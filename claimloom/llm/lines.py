@@ -141,7 +141,7 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         F.collect_list("begin").alias("begins"), F.collect_list("length").alias("lengths")
     ).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "begins", "lengths")
     joined = base.join(by_doc, (key[0] == by_doc["__id"]) & (key[1] == by_doc["__h"]), "left").select(
-        *(base[c] for c in base.columns), by_doc["begins"], by_doc["lengths"]
+        *(base[c].alias(f"c{k}") for k, c in enumerate(base.columns)), by_doc["begins"], by_doc["lengths"]
     )
     added = StructType.fromDDL("n_lines long, n_removed long, n_runs long")
     schema = StructType(base.schema.fields + added.fields)

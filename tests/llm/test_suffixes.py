@@ -38,7 +38,8 @@ def test_text_longer_than_a_slice(documents):
 
 
 def test_repeated_rows_share_a_fate(documents):
-    text = "".join(chr(97 + i * i % 23) for i in range(300))
+    text = "".join(random.Random(1).choices("abcdefgh", k=300))
     got = run(documents, [(1, text), (1, text), (2, text), (None, text + "!")])
-    assert [(r[0], r[2]) for r in got] == [(1, 300), (1, 300), (2, 300), (None, 0)] or [(r[0], r[2] > 0) for r in got] == [(1, True), (1, True), (2, True), (None, False)]
+    assert [(r[0], r[2]) for r in got] == [(1, 300), (1, 300), (2, 300), (None, 0)]
+    assert [(r[0], r[2]) for r in run(documents, [(1, text), (1, text), (2, text)])] == [(1, 0), (1, 0), (2, 300)]
     assert run(documents, []) == []
