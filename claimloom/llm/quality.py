@@ -40,8 +40,8 @@ SHAPE = (
 class Settings:
     """labelled_rows and pool_rows bound what is fitted on, whatever the corpus holds; rows are chosen by a hash of doc_id."""
 
-    labelled_rows: int = 20_000
-    pool_rows: int = 10_000
+    labelled_rows: int = 8_000
+    pool_rows: int = 3_000
     bins: int = 1 << 18
     rounds: int = 3
     share_per_round: float = 0.1
@@ -133,17 +133,18 @@ class Linear:
 
     def fit(self, index: np.ndarray, offsets: np.ndarray, target: np.ndarray, steps: int, least_z: float, penalty: float = 1e-4) -> Linear:
         """Fit the bins whose rows have another share of ones than the rest, by `least_z` standard errors."""
-        row = np.repeat(np.arange(len(target)), np.diff(offsets))
+        row = np.repeat(np.arange(len(target), dtype=np.int32), np.diff(offsets))
         bins = len(self.weights)
-        ones, n_ones = np.bincount(index[target[row] > 0.5], minlength=bins), (target > 0.5).sum()
-        zeros, n_zeros = np.bincount(index[target[row] <= 0.5], minlength=bins), (target <= 0.5).sum()
+        one = target > 0.5
+        ones, n_ones = np.bincount(index[one[row]], minlength=bins), one.sum()
+        zeros, n_zeros = np.bincount(index, minlength=bins) - ones, (~one).sum()
         common = (ones + zeros) / len(target)
         spread = np.sqrt(np.maximum(common * (1 - common), 1e-12) * (1 / max(n_ones, 1) + 1 / max(n_zeros, 1)))
         telling = np.flatnonzero(np.abs(ones / max(n_ones, 1) - zeros / max(n_zeros, 1)) >= least_z * spread)
-        place = np.full(bins, -1)
-        place[telling] = np.arange(len(telling))
-        kept = place[index] >= 0
-        index, row = place[index[kept]], row[kept]
+        chosen = np.zeros(bins, bool)
+        chosen[telling] = True
+        kept = chosen[index]
+        index, row = np.searchsorted(telling, index[kept]), row[kept]
 
         w, bias = np.zeros(len(telling)), 0.0
         mean, square, mean_b, square_b = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
@@ -160,12 +161,10 @@ class Linear:
         return self
 
 
-def _take(view, rows: np.ndarray):
-    index, offsets = view
-    counts = np.diff(offsets)[rows]
-    cut = np.append(0, np.cumsum(counts))
-    at = np.repeat(offsets[rows] - cut[:-1], counts) + np.arange(cut[-1])
-    return index[at], cut
+def _take(view, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Active bins of some rows of a view, which is a sequence of arrays, and their offsets."""
+    parts = [view[i] for i in rows]
+    return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
 
 
 def _blend(odds: np.ndarray, target: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -292,11 +291,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     rows = sorted(both.mapInArrow(measure, ddl).collect(), key=lambda r: (r["doc_id"], r["tokens"]))
     if not rows:
         return Model(np.zeros((len(SHAPE), SHAPE_BINS - 1)), None, None, settings)
-    tokens = [np.frombuffer(r["tokens"], np.int32) for r in rows]
-    text = np.concatenate(tokens), np.append(0, np.cumsum([len(t) for t in tokens]))
+    text = [np.frombuffer(r["tokens"], np.int32) for r in rows]
     shape = np.frombuffer(b"".join(r["shape"] for r in rows), np.float32).reshape(len(rows), len(SHAPE))
     cuts = np.quantile(shape, np.arange(1, SHAPE_BINS) / SHAPE_BINS, axis=0).T
-    meta = _meta_view(shape, np.array([r["lang"] for r in rows]), np.array([r["source"] for r in rows]), cuts)
+    meta = _meta_view(shape, np.array([r["lang"] for r in rows]), np.array([r["source"] for r in rows]), cuts)[0].reshape(len(rows), -1)
     labelled = np.array([r["quality"] is not None for r in rows])
     sizes = bins * LEVELS, cuts.size + len(cuts) + LANGUAGES + SOURCES
     fits = {
