@@ -39,14 +39,14 @@ COVERAGE_CODES = {
     "both": ("4",),
 }
 
-# Age bands: label and inclusive upper age; older than the last is OLDEST_BAND.
+# Age bands: label and the age at which the next one begins; from the last on it is OLDEST_BAND.
 AGE_BANDS = (
-    ("under10", 9),
-    ("10To17", 17),
-    ("18To29", 29),
-    ("30To39", 39),
-    ("40To49", 49),
-    ("50To64", 64),
+    ("under10", 10),
+    ("10To17", 18),
+    ("18To29", 30),
+    ("30To39", 40),
+    ("40To49", 50),
+    ("50To64", 65),
 )
 OLDEST_BAND = "over64"
 MISSING = "missing"

@@ -74,11 +74,11 @@ def bands(
     above: str = codes.OLDEST_BAND,
     default: str = codes.MISSING,
 ) -> Column:
-    """Label a number by its first inclusive upper limit; NULL gets the default."""
+    """Label a number by the first limit it lies below; NULL gets the default."""
     value = as_column(column)
     out = F.when(value.isNull(), default)
     for label, upper in limits:
-        out = out.when(value <= upper, label)
+        out = out.when(value < upper, label)
     return out.otherwise(above)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.columns import all_present, flag, present
+from .relational import whole_levels
 
 CLAIM_KEYS = ("BENE_ID", "STATE_CD", "CLM_ID")
 
@@ -58,7 +59,8 @@ def completeness(
     """Number of claims passing each check, per group or overall.
 
     Without ``checks`` every presence flag is counted. ``with_total`` adds the
-    overall row (group columns NULL) in the same pass.
+    overall row (group columns NULL) in the same pass, and ``is_total`` tells it
+    from a group of NULLs.
     """
     names = [*fields, *any_of]
     claims = claim_flags(presence_flags(lines, fields, any_of), names, keys)
@@ -73,8 +75,7 @@ def completeness(
         *([F.grouping_id().alias("_level")] if with_total else []),
     )
     if with_total:
-        # Keep the full grouping and the grand total of a multi-column rollup.
-        out = out.where(F.col("_level").isin(0, 2 ** len(by) - 1)).drop("_level")
+        out = whole_levels(out, by)
     return out
 
 

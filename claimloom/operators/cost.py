@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.columns import ed_visit, per_member_per_year, ratio
-from .relational import attach_group_stats, names
+from .relational import attach_group_stats, names, whole_levels
 
 CLAIM_GRAIN = ("state", "fips_code", "beneID", "CLM_ID")
 
@@ -208,14 +208,21 @@ def savings_to_median(
 
 
 def savings_summary(units: DataFrame, by: str | Sequence[str] = (), months: str = "member_month", with_total: bool = False) -> DataFrame:
-    """Savings per group (and overall), in total and per member per year."""
+    """Savings per group, in total and per member per year.
+
+    ``with_total`` adds the overall row (group columns NULL), and ``is_total``
+    tells it from a group of NULLs.
+    """
     by = names(by)
     groups = units.rollup(*by) if with_total else units.groupBy(*by)
     out = groups.agg(
         F.sum("saving_ed").alias("saving_ed"),
         F.sum("saving_ip").alias("saving_ip"),
         F.sum(months).alias("months"),
+        *([F.grouping_id().alias("_level")] if with_total else []),
     )
+    if with_total:
+        out = whole_levels(out, by)
     both = F.col("saving_ed") + F.col("saving_ip")
     return out.withColumns(
         {

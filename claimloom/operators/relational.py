@@ -63,3 +63,9 @@ def attach_group_stats(df: DataFrame, by: str | Sequence[str], stats: Mapping[st
     by = names(by)
     grouped = df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])
     return df.join(grouped, by, "left")
+
+
+def whole_levels(grouped: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The full grouping and the grand total of a rollup with ``_level``; ``is_total`` marks the latter."""
+    total = 2 ** len(by) - 1
+    return grouped.where(F.col("_level").isin(0, total)).withColumn("is_total", F.col("_level") == total).drop("_level")

@@ -39,15 +39,12 @@ def scan_project(spark, folder):
 @query(
     "union_family",
     """select lpad(cast(month(o_orderdate) as varchar), 2, '0') as month, o_orderkey as claim_id, o_custkey as member_id
-       from orders where year(o_orderdate) = 1997""",
+       from orders""",
 )
 def union_family(spark, folder):
     orders = table(spark, folder, "orders")
     family = {
-        m: orders.where(
-            (F.col("o_orderdate") >= F.lit(f"1997-{m}-01").cast("timestamp"))
-            & (F.col("o_orderdate") < F.add_months(F.lit(f"1997-{m}-01").cast("date"), 1).cast("timestamp"))
-        ).select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("member_id"))
+        m: orders.where(F.month("o_orderdate") == int(m)).select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("member_id"))
         for m in readers.MONTHS
     }
     return readers.month_family(family).select("month", "claim_id", "member_id")
@@ -74,7 +71,9 @@ def csv_lookup(spark, folder):
 def write_table(spark, folder):
     part = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
     path = writers.shared_folder(spark, "table")
-    saved = writers.save_table(part, f"parts_{path[-32:]}", partition_by=["p_brand"], path=path)
+    # one catalog entry under a fixed name, whatever the number of runs
+    spark.sql("drop table if exists written_parts")
+    saved = writers.save_table(part, "written_parts", partition_by=["p_brand"], path=path)
     return saved.select("p_brand", "p_partkey", "p_size", "p_retailprice")
 
 
@@ -174,11 +173,10 @@ def filter_null(spark, folder):
     """select c_custkey as member_id, coalesce(n, 0) as claims, coalesce(paid, 0.0) as paid
        from customer left join (
          select o_custkey, count(*) as n, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as paid
-         from orders where year(o_orderdate) = 1997 group by o_custkey) on c_custkey = o_custkey""",
+         from orders group by o_custkey) on c_custkey = o_custkey""",
 )
 def null_fill(spark, folder):
-    year = table(spark, folder, "orders").where(F.year("o_orderdate") == 1997)
-    counts = year.groupBy(F.col("o_custkey").alias("member_id")).agg(
+    counts = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("member_id")).agg(
         F.count(F.lit(1)).alias("claims"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("paid"),
     )
@@ -234,14 +232,14 @@ def inner_join(spark, folder):
 @query(
     "left_join",
     """select c_custkey as member_id, o_orderkey as claim_id from customer
-       left join (select * from orders where o_orderstatus = 'P') on c_custkey = o_custkey""",
+       left join orders on c_custkey = case when o_custkey % 5 = 0 then -o_custkey else o_custkey end""",
 )
 def left_join(spark, folder):
-    pending = table(spark, folder, "orders").where(F.col("o_orderstatus") == "P").select(
-        F.col("o_custkey").alias("member_id"), F.col("o_orderkey").alias("claim_id")
-    )
+    # every fifth customer's orders carry a key that does not exist
+    key = F.when(F.col("o_custkey") % 5 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    orders = table(spark, folder, "orders").select(key.alias("member_id"), F.col("o_orderkey").alias("claim_id"))
     people = table(spark, folder, "customer").select(F.col("c_custkey").alias("member_id"))
-    return relational.enrich(people, pending, "member_id")
+    return relational.enrich(people, orders, "member_id")
 
 
 @query(

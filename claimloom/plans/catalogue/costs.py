@@ -257,6 +257,15 @@ def _register_study(study: str) -> None:
             unit_costs(spark, folder, study, "county"), ["pmpy"], accuracy=ACCURACY
         )
 
+    @query(
+        f"pmpy_distribution_states_{study}",
+        with_views(_distribution_sql("v_unit", ("pmpy",)), *unit_view(study, "state")),
+    )
+    def state_distribution(spark, folder):
+        return variation.distribution(
+            unit_costs(spark, folder, study, "state"), ["pmpy"], accuracy=ACCURACY
+        )
+
     @query(
         f"pmpy_total_{study}",
         with_views(
@@ -317,7 +326,25 @@ def _register_study(study: str) -> None:
         with_views(spread_sql("v_member_cost", "fips_code", {"rate": "pmpy"}), *members_sql),
     )
     def across_members(spark, folder):
-        return variation.spread(member_rows(spark, folder), "fips_code", {"rate": "pmpy"}, ACCURACY)
+        return variation.spread(member_rows(spark, folder), "fips_code", {"rate": "pmpy"})
+
+    @query(
+        f"pmpy_range_distribution_members_{study}",
+        with_views(
+            _distribution_sql("v_spread", ("range_rate",)),
+            *members_sql,
+            f"v_spread as ({spread_sql('v_member_cost', 'fips_code', {'rate': 'pmpy'})})",
+        ),
+    )
+    def member_ranges(spark, folder):
+        return variation.distribution(across_members(spark, folder), ["range_rate"], accuracy=ACCURACY)
+
+    @query(
+        f"pmpy_distribution_members_{study}",
+        with_views(_distribution_sql("v_member_cost", ("pmpy",)), *members_sql),
+    )
+    def member_distribution(spark, folder):
+        return variation.distribution(member_rows(spark, folder), ["pmpy"], accuracy=ACCURACY)
 
 
 for _study in STUDIES:
@@ -343,6 +370,13 @@ SAVINGS = [
   from v_pmpy p join (select state, quantile_disc(pmpy_ed, 0.5) as pmpy_ed_med, quantile_disc(pmpy_ip, 0.5) as pmpy_ip_med
                       from v_pmpy group by state) m on p.state = m.state)""",
 ]
+
+
+@query("savings_inputs_distribution", with_views(_distribution_sql("v_pmpy", ("pmpy_ed", "pmpy_ip")), *SAVINGS))
+def savings_inputs_distribution(spark, folder):
+    return variation.distribution(savings_units(spark, folder), ["pmpy_ed", "pmpy_ip"], accuracy=ACCURACY)
+
+
 SUMMARY_COLUMNS = """round(sum(saving_ed), 4) as saving_ed, round(sum(saving_ip), 4) as saving_ip,
        cast(sum(member_month) as bigint) as months, round(sum(saving_ip) / sum(member_month) * 12, 6) as pmpy_ip_saving,
        round(sum(saving_ed) / sum(member_month) * 12, 6) as pmpy_ed_saving,
@@ -364,7 +398,7 @@ def savings_unit(spark, folder):
     return savings_units(spark, folder)
 
 
-@query("savings_state", with_views(f"select state, {SUMMARY_COLUMNS} from v_saving group by rollup (state)", *SAVINGS))
+@query("savings_state", with_views(f"select state, grouping(state) = 1 as is_total, {SUMMARY_COLUMNS} from v_saving group by rollup (state)", *SAVINGS))
 def savings_state(spark, folder):
     return rounded(cost.savings_summary(savings_units(spark, folder), "state", with_total=True))
 

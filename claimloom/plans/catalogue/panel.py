@@ -128,14 +128,14 @@ AGE_CASE = """case when age is null then 'missing' when age < 10 then 'under10'
     f"""select member_id, {AGE_CASE} as "ageCat",
                case when nation in (1, 2) then 'West' when nation in (3) then 'Midwest' else 'South' end as region
         from (select c_custkey as member_id, c_nationkey as nation,
-                     case when c_custkey % 17 <> 0 then c_custkey % 80 end as age from customer)""",
+                     case when c_custkey % 17 <> 0 then (c_custkey % 160) / 2.0 end as age from customer)""",
 )
 def recode_bands(spark, folder):
     key = F.col("c_custkey")
     state = F.when(F.col("c_nationkey").isin(1, 2), "AK").when(F.col("c_nationkey") == 3, "IA").otherwise("VA")
     return table(spark, folder, "customer").select(
         key.alias("member_id"),
-        bands(F.when(key % 17 != 0, key % 80)).alias("ageCat"),
+        bands(F.when(key % 17 != 0, (key % 160) / 2)).alias("ageCat"),
         census_region(state).alias("region"),
     )
 
@@ -244,7 +244,8 @@ def member_collapse(spark, folder):
     return one_row_per(rows, "member_id")
 
 
-MATCHED = """v_known as (select member_id, age, region from v_member where age < 50)"""
+# Every seventh member is known under another identifier, so some rows find no match.
+MATCHED = """v_known as (select case when member_id % 7 = 0 then -member_id else member_id end as member_id, age, region from v_member)"""
 
 
 @query(
@@ -263,7 +264,8 @@ def panel_demographics(spark, folder):
 
 
 def attached(spark, folder, rows):
-    known = testbed.members(spark, folder).where(F.col("age") < 50).select("beneID", "age", "region")
+    renamed = F.when(F.col("beneID") % 7 == 0, -F.col("beneID")).otherwise(F.col("beneID"))
+    known = testbed.members(spark, folder).select(renamed.alias("beneID"), "age", "region")
     return panel.attach_demographics(rows, known, ["beneID"], matched="matched")
 
 
@@ -336,7 +338,8 @@ CLAIM_LEVEL = """v_claim_level as (
 @query(
     "completeness_by_state",
     with_views(
-        """select state, count(*) filter (proc is not null and diag is not null and (npi is not null or spec is not null)) as "all",
+        """select state, grouping(state) = 1 as is_total,
+                  count(*) filter (proc is not null and diag is not null and (npi is not null or spec is not null)) as "all",
                   count(*) filter (diag is not null and (npi is not null or spec is not null)) as "noProc",
                   count(*) as "totalClaims"
            from v_claim_level group by rollup (state)""",

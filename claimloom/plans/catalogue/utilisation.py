@@ -281,7 +281,7 @@ def _register_variation(kind: str, measures: dict[str, str]) -> None:
         with_views(spread_sql("v_member_counts", "fips_code", measures), MEMBER_COUNTS),
     )
     def within_county(spark, folder):
-        return variation.spread(per_member(spark, folder), "fips_code", measures, ACCURACY)
+        return variation.spread(per_member(spark, folder), "fips_code", measures)
 
     @query(
         f"range_distribution_{kind}",
@@ -319,7 +319,8 @@ for _kind, _measures in variation.CARE_MEASURES.items():
     "member_month_summary",
     with_views(
         " union all ".join(
-            f"select '{label}' as summary, cast({_quantile('total_members', p)} as double) as total_members from v_sizes"
+            f"select '{label}' as summary, cast({_quantile('total_members', p)} as double) as total_members from v_sizes "
+            f"where total_members >= {MINIMUM}"
             for label, p in (
                 ("min", 0), ("25%", 0.25), ("50%", 0.5), ("75%", 0.75), ("90%", 0.9), ("95%", 0.95),
                 ("99%", 0.99), ("max", 1),
@@ -329,7 +330,8 @@ for _kind, _measures in variation.CARE_MEASURES.items():
     ),
 )
 def member_month_summary(spark, folder):
-    return variation.size_summary(sizes(spark, folder), "total_members").orderBy("summary")
+    kept = cohort.minimum_population(sizes(spark, folder), MINIMUM)
+    return variation.size_summary(kept, "total_members").orderBy("summary")
 
 
 @query("regression_adjust")

@@ -83,21 +83,35 @@ def read_month_family(
     )
 
 
-def read_lookup(spark: SparkSession, path: str, schema: StructType, strip: str | None = None) -> DataFrame:
+def read_lookup(
+    spark: SparkSession, path: str, schema: StructType, strip: str | None = None, rejected: str | None = None
+) -> DataFrame:
     """CSV lookup with a header, matched to the schema by column name.
 
-    ``strip`` removes a wrapping character from every text value.
+    ``strip`` removes a wrapping character from every text value. A column the
+    file lacks is an error at once, a value that is not of its column's type
+    one when the row is read. With ``rejected`` such values become NULL and the
+    column of that name says how many a row has.
     """
     raw = spark.read.csv(path, header=True)
     present = {c.lower(): c for c in raw.columns}
-    out = []
+    missing = [f.name for f in schema.fields if f.name.lower() not in present]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    out, failures = [], []
     for field in schema.fields:
-        if field.name.lower() not in present:
-            continue
         value = F.col(f"`{present[field.name.lower()]}`")
         if strip:
             value = F.regexp_replace(value, f"^[{strip}]+|[{strip}]+$", "")
-        out.append(value.try_cast(field.dataType).alias(field.name))
+        cast = value.try_cast(field.dataType)
+        wrong = value.isNotNull() & cast.isNull()
+        if rejected is None:
+            message = F.concat(F.lit(f"{field.name} in {path} is no {field.dataType.simpleString()}: "), value)
+            cast = F.when(wrong, F.raise_error(message).cast(field.dataType)).otherwise(cast)
+        out.append(cast.alias(field.name))
+        failures.append(wrong.cast("int"))
+    if rejected is not None:
+        out.append(reduce(lambda a, b: a + b, failures).alias(rejected))
     return raw.select(*out)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from claimloom.functions import codes
 from claimloom.functions.columns import (
@@ -50,9 +51,9 @@ def test_managed_care_recode(rows, code, label):
 
 
 def test_age_bands(rows):
-    df = rows([(9,), (10,), (17,), (18,), (64,), (65,), (None,)], "age int")
+    df = rows([(9.0,), (9.5,), (10.0,), (17.9,), (18.0,), (64.5,), (65.0,), (None,)], "age double")
     assert values(df.select(bands("age").alias("b")), "b") == [
-        "under10", "10To17", "10To17", "18To29", "50To64", "over64", "missing",
+        "under10", "under10", "10To17", "10To17", "18To29", "50To64", "over64", "missing",
     ]
 
 
@@ -228,6 +229,20 @@ def test_savings(rows):
     assert {r.state: r.saving_total for r in total} == {"x": 120.0, None: 120.0}
 
 
+def test_total_row_is_told_from_a_group_of_nulls(rows):
+    units = rows(
+        [("x", "a", 12, 1.0, 2.0), (None, "a", 12, 4.0, 8.0)],
+        "state string,county string,member_month int,saving_ed double,saving_ip double",
+    )
+    got = cost.savings_summary(units, ["state", "county"], with_total=True).collect()
+    assert {(r.state, r.county, r.is_total, r.saving_total) for r in got} == {
+        ("x", "a", False, 3.0), (None, "a", False, 12.0), (None, None, True, 15.0),
+    }
+    lines = rows([(1, "x", "p"), (2, None, "p"), (3, None, None)], "claim int,state string,proc string")
+    got = claims.completeness(lines, {"has": "proc"}, by=["state"], keys=["claim", "state"], with_total=True).collect()
+    assert {(r.state, r.is_total, r["has"], r.totalClaims) for r in got} == {("x", False, 1, 1), (None, False, 1, 2), (None, True, 2, 3)}
+
+
 def test_members_without_claims_cost_nothing(rows):
     members = rows([(1, "ME", "23001"), (2, "ME", "23001")], "beneID int,state string,fips_code string")
     spend = rows([(1, "ME", 50.0)], "beneID int,state string,total_cost_ed double")
@@ -314,6 +329,18 @@ def test_sinks_round_trip(spark, rows):
     assert values(lookup, "diagnosisOne", "ccsrCatOne") == [("J45", "Asthma")]
 
 
+def test_lookups_lose_no_value_quietly(spark, rows):
+    path = writers.shared_folder(spark, "csv")
+    writers.save_csv(rows([("J45", "0.9"), ("J46", "n/a"), ("J47", None)], "code string,score string"), path)
+    schema = StructType.fromDDL("code string, score double")
+    with pytest.raises(Exception, match="n/a"):
+        readers.read_lookup(spark, path, schema).collect()
+    lenient = readers.read_lookup(spark, path, schema, rejected="bad")
+    assert sorted(values(lenient, "code", "score", "bad"), key=str) == [("J45", 0.9, 0), ("J46", None, 1), ("J47", None, 0)]
+    with pytest.raises(ValueError, match="weight"):
+        readers.read_lookup(spark, path, StructType.fromDDL("code string, weight double"))
+
+
 def test_crosswalks(spark):
     to_fips = dict(values(readers.state_to_fips(spark), "state", "fips_state"))
     to_state = dict(values(readers.fips_to_state(spark), "fips_state", "state_name"))
