@@ -108,6 +108,13 @@ def service_costs(
     )
 
 
+def sum_spend(spend: DataFrame, unit: str | Sequence[str]) -> DataFrame:
+    """Coarser units from a cost table at member grain: every amount summed, NULL where no member has one."""
+    unit = names(unit)
+    amounts = [c for c, t in spend.dtypes if t == "double" or t.startswith("decimal")]
+    return spend.groupBy(*unit).agg(*[F.sum(c).alias(c) for c in amounts])
+
+
 def combine_costs(base: DataFrame, others: Sequence[DataFrame], unit: str | Sequence[str], how: str = "left") -> DataFrame:
     """Costs side by side per unit.
 

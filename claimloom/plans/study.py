@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.columns import census_region
 from ..operators import (
-    adjust, claims, classify, cohort, cost, geography, panel, rates, relational, variation,
+    adjust, audit, claims, classify, cohort, cost, geography, panel, rates, relational, variation,
 )
 from ..sources import readers, writers
 from . import acute
@@ -45,6 +47,7 @@ SAMPLE_COLUMNS = (
     "age", "disabled", "medicareMonths", "medicaidMonths", "county_code", "fips_state", "fips_code",
 )
 CLAIM_RENAMES = {"BENE_ID": "beneID", "STATE_CD": "state"}
+RATE_MEASURES = ("non_emergent_acute", "acute_percent", "avoid_ed", "ed_percent", "avoid_ip", "ip_percent")
 
 
 # --- analytic files -----------------------------------------------------------
@@ -103,6 +106,24 @@ def sample_file(demo: DataFrame, enrolment: DataFrame, county: DataFrame, exclud
     return cohort.study_sample(demo, panel.member_months(enrolment), located, crosswalk, excluded)
 
 
+def sample_funnel(demo: DataFrame, enrolment: DataFrame, excluded: Sequence[str] = codes.EXCLUDED_STATES) -> DataFrame:
+    """Records and states left after each exclusion that leads to the cohort."""
+    people = demo.groupBy("beneID").agg(
+        F.min("state").alias("state"), F.max("age").alias("age"), F.count(F.lit(1)).alias("records")
+    )
+    covered = panel.member_months(enrolment).select("beneID", "medicareMonths").groupBy("beneID").agg(
+        F.max("medicareMonths").alias("medicareMonths")
+    )
+    steps = (
+        ("one state", F.col("records") == 1),
+        ("state known", F.col("state").isNotNull()),
+        ("state kept", ~F.col("state").isin(*excluded)),
+        ("never dual", F.col("medicareMonths") == 0),
+        ("under 65", F.col("age") < 65),
+    )
+    return cohort.funnel(people.join(covered, "beneID", "left"), steps, "state", weight="records")
+
+
 def cohort_claims(claim_lines: DataFrame, sample: DataFrame) -> DataFrame:
     """Claim lines of cohort members with the cohort columns."""
     renamed = claim_lines.withColumnsRenamed(CLAIM_RENAMES)
@@ -167,11 +188,6 @@ def counties_within_state(county_rate: DataFrame, kind: str) -> DataFrame:
     return variation.spread(county_rate, "state_name", variation.CARE_MEASURES[kind])
 
 
-def members_within_county(episodes: DataFrame, sample: DataFrame, kind: str) -> DataFrame:
-    counts = rates.member_counts(episodes, sample)
-    return variation.spread(counts, "fips_code", variation.CARE_MEASURES[kind])
-
-
 def published_counties(counties: DataFrame, limit: int = codes.SMALL_CELL) -> DataFrame:
     return geography.suppress(named_counties(counties), limit=limit)
 
@@ -187,42 +203,62 @@ COST_STUDIES = {
 UNITS = {"state": ["state"], "county": ["fips_code", "state"], "member": ["beneID", "state"]}
 
 
-def medical_file(claim_lines: DataFrame, sample: DataFrame, study: str) -> DataFrame:
-    """Cohort claim lines of the states a cost study covers."""
-    return cohort.scoped_claims(claim_lines, sample, COST_STUDIES[study][0])
+ALL_COST_STATES = tuple(sorted({state for states, _ in COST_STUDIES.values() for state in states}))
+MEMBER_GRAIN = ["beneID", "state", "fips_code"]
+
+
+def inpatient_spend(inpatient: DataFrame, sample: DataFrame, states: Sequence[str] = ALL_COST_STATES) -> DataFrame:
+    """Inpatient cost per cohort member: the one pass over these claims that all cost studies share."""
+    return cost.inpatient_cost(cohort.scoped_claims(inpatient, sample, states), MEMBER_GRAIN)
+
 
+def service_spend(other: DataFrame, sample: DataFrame, states: Sequence[str] = ALL_COST_STATES) -> DataFrame:
+    """Total and emergency cost of services per cohort member, in one pass likewise."""
+    return cost.service_costs(cohort.scoped_claims(other, sample, states), MEMBER_GRAIN)
 
-def cost_table(study: str, unit: str, inpatient: DataFrame | None = None, other: DataFrame | None = None) -> DataFrame:
-    """Cost columns of a study per unit, from the study's medical files."""
+
+def _of_study(study: str, spend: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Members of a study's states that have any of the columns, with these."""
+    some = reduce(or_, [F.col(c).isNotNull() for c in columns])
+    return spend.where(F.col("state").isin(*COST_STUDIES[study][0]) & some).select(*MEMBER_GRAIN, *columns)
+
+
+INPATIENT_AMOUNTS = ("ffs_amount_ip", "mc_amount_ip", "inpatient_cost")
+ED_AMOUNTS = ("ffs_amount_ed", "mc_amount_ed", "total_cost_ed")
+OTHER_AMOUNTS = ("ffs_amount_other", "mc_amount_other", "total_cost_other")
+
+
+def cost_table(study: str, unit: str, stays: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
+    """Cost columns of a study per unit, from the members' spend."""
     keys = UNITS[unit]
-    if study == "ip":
-        return cost.inpatient_cost(inpatient, keys)
     if study == "ed":
-        return cost.ed_cost(other, keys)
-    stays = cost.inpatient_cost(inpatient, keys)
-    return cost.combine_costs(stays, [cost.service_costs(other, keys)], keys)
+        return cost.sum_spend(_of_study(study, services, ED_AMOUNTS), keys)
+    inpatient = cost.sum_spend(_of_study(study, stays, INPATIENT_AMOUNTS), keys)
+    if study == "ip":
+        return inpatient
+    return cost.combine_costs(inpatient, [cost.sum_spend(_of_study(study, services, OTHER_AMOUNTS + ED_AMOUNTS), keys)], keys)
 
 
-def unit_cost_table(study: str, unit: str, rate: DataFrame, inpatient: DataFrame | None = None, other: DataFrame | None = None) -> DataFrame:
+def unit_cost_table(study: str, unit: str, rate: DataFrame, stays: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
     """Cost, avoidable cost and PMPY per state or county; ``rate`` holds that unit's rates."""
     percents = rate.withColumnRenamed("state_name", "state").select(
         *UNITS[unit], "member_month", "ip_percent", "ed_percent"
     )
-    table = cost_table(study, unit, inpatient, other)
+    table = cost_table(study, unit, stays, services)
     return cost.unit_costs(table, percents, UNITS[unit], {"pmpy": COST_STUDIES[study][1]})
 
 
-def member_cost_table(study: str, sample: DataFrame, county_rate: DataFrame, inpatient: DataFrame | None = None, other: DataFrame | None = None) -> DataFrame:
+def member_cost_table(study: str, sample: DataFrame, county_rate: DataFrame, stays: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
     """Cost rows of every cohort member in the study's states, non-users included."""
     states, pmpy = COST_STUDIES[study]
     people = sample.where(F.col("state").isin(*states)).select(*KEYS, "fips_code")
     parts = []
     if study in ("total", "ip"):
-        parts.append((cost.inpatient_cost(inpatient, UNITS["member"]), ["inpatient_cost"]))
+        parts.append((_of_study(study, stays, INPATIENT_AMOUNTS), ["inpatient_cost"]))
     if study == "total":
-        parts.append((cost.service_costs(other, UNITS["member"]), ["total_cost_ed", "total_cost_other"]))
+        parts.append((_of_study(study, services, OTHER_AMOUNTS + ED_AMOUNTS), ["total_cost_ed", "total_cost_other"]))
     if study == "ed":
-        parts.append((cost.ed_cost(other, UNITS["member"]), ["total_cost_ed"]))
+        parts.append((_of_study(study, services, ED_AMOUNTS), ["total_cost_ed"]))
     percents = county_rate.select("fips_code", "member_month", "ip_percent", "ed_percent")
     return cost.member_costs(people, parts, percents, {"pmpy": pmpy})
 
@@ -296,12 +332,15 @@ def run(spark: SparkSession, sources: Sources, target: Target) -> Mapping[str, D
 
     raw = spark.table(sources.eligibility)
     demo = keep("demographics", demographic_file(raw))
+    keep("demographics_missing", audit.missingness(demo))
+    keep("demographics_coverage", audit.coverage(demo))
     enrolment = keep("enrolment", enrolment_file(raw))
     keep("member_months", member_month_file(enrolment, demo))
     sample = keep(
         "sample",
         sample_file(demo, enrolment, spark.table(sources.member_county), target.excluded_states),
     )
+    keep("sample_funnel", sample_funnel(demo, enrolment, target.excluded_states))
 
     wanted = F.col("CLM_TYPE_CD").isin(*codes.CLAIM_TYPES)
     stays = keep(
@@ -319,7 +358,9 @@ def run(spark: SparkSession, sources: Sources, target: Target) -> Mapping[str, D
         ),
     )
     keep("inpatient_completeness", inpatient_completeness(stays))
+    keep("inpatient_payments", inpatient_payment_completeness(stays))
     keep("other_completeness", other_completeness(services))
+    keep("other_payments", other_payment_completeness(services))
     inpatient = keep("inpatient_cohort", cohort_claims(stays, sample), target.partition_claims_by)
     other = keep("other_cohort", cohort_claims(services, sample), target.partition_claims_by)
 
@@ -329,6 +370,7 @@ def run(spark: SparkSession, sources: Sources, target: Target) -> Mapping[str, D
     every_episode = keep("episodes_all", episode_file(visits, sample))
     every_county = keep("counties_all", county_file(sample, every_episode))
 
+    keep("screening", cohort.screening_report(every_county, target.minimum_members))
     counties = keep("counties", cohort.minimum_population(every_county, target.minimum_members))
     members = keep("sample_screened", cohort.screen(sample, counties))
     episodes = keep("episodes", cohort.screen(every_episode, counties))
@@ -337,9 +379,15 @@ def run(spark: SparkSession, sources: Sources, target: Target) -> Mapping[str, D
     keep("rates_overall", overall_rates(counties))
     state_rate = keep("rates_state", state_rates(counties))
     county_rate = keep("rates_county", county_rates(counties))
-    for kind in variation.CARE_MEASURES:
-        keep(f"within_state_{kind}", counties_within_state(county_rate, kind))
-        keep(f"within_county_{kind}", members_within_county(episodes, members, kind))
+    keep("county_sizes", variation.size_summary(counties, "total_members"))
+    for unit, table in (("states", state_rate), ("counties", county_rate)):
+        keep(f"rates_distribution_{unit}", variation.distribution(table, RATE_MEASURES))
+    counts = keep("member_counts", rates.member_counts(episodes, members))
+    for kind, measures in variation.CARE_MEASURES.items():
+        within_state = keep(f"within_state_{kind}", counties_within_state(county_rate, kind))
+        within_county = keep(f"within_county_{kind}", variation.spread(counts, "fips_code", measures))
+        keep(f"ranges_within_state_{kind}", variation.distribution(within_state, ["range_rate", "range_percent"]))
+        keep(f"ranges_within_county_{kind}", variation.distribution(within_county, ["range_rate", "iqr_percent"]))
     target.publish(
         geography.release(county_rate, geography.UTILISATION_COLUMNS, geography.UTILISATION_RENAMES),
         "utilisation_county",
@@ -352,16 +400,23 @@ def run(spark: SparkSession, sources: Sources, target: Target) -> Mapping[str, D
         "ed": (geography.ED_SPEND_COLUMNS, geography.ED_SPEND_RENAMES),
         "ip": (geography.IP_SPEND_COLUMNS, geography.IP_SPEND_RENAMES),
     }
+    files = {
+        "stays": keep("spend_inpatient", inpatient_spend(inpatient, members)),
+        "services": keep("spend_services", service_spend(other, members)),
+    }
     for study, (columns, renames) in releases.items():
-        files = {
-            "inpatient": medical_file(inpatient, members, study) if study != "ed" else None,
-            "other": medical_file(other, members, study) if study != "ip" else None,
-        }
-        keep(f"cost_{study}_state", unit_cost_table(study, "state", state_rate, **files))
+        by_state = keep(f"cost_{study}_state", unit_cost_table(study, "state", state_rate, **files))
         by_county = keep(f"cost_{study}_county", unit_cost_table(study, "county", county_rate, **files))
         by_member = keep(f"cost_{study}_member", member_cost_table(study, members, county_rate, **files))
-        keep(f"cost_{study}_within_state", variation.spread(by_county, "state", {"rate": "pmpy"}))
-        keep(f"cost_{study}_within_county", variation.spread(by_member, "fips_code", {"rate": "pmpy"}))
+        keep(f"cost_{study}_total", cost.pmpy_total(by_state, COST_STUDIES[study][1]))
+        ranges = {
+            "state": keep(f"cost_{study}_within_state", variation.spread(by_county, "state", {"rate": "pmpy"})),
+            "county": keep(f"cost_{study}_within_county", variation.spread(by_member, "fips_code", {"rate": "pmpy"})),
+        }
+        for unit, table in (("states", by_state), ("counties", by_county), ("members", by_member)):
+            keep(f"cost_{study}_distribution_{unit}", variation.distribution(table, ["pmpy"]))
+        for unit, table in ranges.items():
+            keep(f"cost_{study}_ranges_within_{unit}", variation.distribution(table, ["range_rate"]))
         target.publish(geography.release(by_county, columns, renames), f"spend_{study}")
 
     savings = keep("savings_county", savings_table(out["cost_total_county"]))

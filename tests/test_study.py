@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.functions import codes
-from claimloom.operators import panel
+from claimloom.operators import audit, cohort, cost, panel, variation
 from claimloom.plans import study
 
 MONTHS = ("01", "02")
@@ -99,7 +99,7 @@ def results(spark, tmp_path_factory):
             put(f"src_{kind}_header_{month}", headers[month])
     scores, listed = str(folder / "ed.csv"), str(folder / "ip.csv")
     with open(scores, "w") as f:
-        f.write(",dx,ednnp,ednp,pct,nonemergent\n0,J45,0.1,0.3,0.3,0.2\n1,I10,0.5,0.1,0.1,0.1\n")
+        f.write(",dx,ednnp,ednp,pct,nonemergent,alcohol,drug,injury,psych,unclassified\n0,J45,0.1,0.3,0.3,0.2,0,0,0,0,0\n1,I10,0.5,0.1,0.1,0.1,0,0,0,0,0\n")
     with open(listed, "w") as f:
         f.write("diagnosisOne,pqiLabel,icd10Label,pqiNum\nE11,Diabetes,x,1\nE11,Diabetes,y,2\n")
     sources = study.Sources(
@@ -228,3 +228,61 @@ def test_completeness_has_state_and_total_rows(results):
 
 def test_panel_families_name_the_source_columns():
     assert {f.how for f in panel.ENROLMENT_FAMILIES.values()} == {"sum", "max"}
+
+
+def test_cost_tables_equal_those_from_the_claim_lines(results):
+    tables, *_ = results
+    members, rate = tables["sample_screened"], {"state": tables["rates_state"], "county": tables["rates_county"]}
+    for name, (states, _) in study.COST_STUDIES.items():
+        stays = cohort.scoped_claims(tables["inpatient_cohort"], members, states)
+        services = cohort.scoped_claims(tables["other_cohort"], members, states)
+        for unit, keys in (("state", ["state"]), ("county", ["fips_code", "state"])):
+            if name == "ed":
+                direct = cost.ed_cost(services, keys)
+            else:
+                direct = cost.inpatient_cost(stays, keys)
+                if name == "total":
+                    direct = cost.combine_costs(direct, [cost.service_costs(services, keys)], keys)
+            columns = [*keys, *[c for c in ("inpatient_cost", "total_cost_ed", "total_cost_other") if c in direct.columns]]
+
+            def rounded(df):
+                return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect()), key=repr)
+
+            assert rounded(tables[f"cost_{name}_{unit}"]) == rounded(direct)
+        users = tables[f"cost_{name}_member"]
+        assert users.count() == members.where(F.col("state").isin(*states)).count()
+
+
+def test_cost_stage_reads_each_claim_file_once(results):
+    tables, *_ = results
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("_cohort")
+
+    assert scans(study.inpatient_spend(tables["inpatient_cohort"], tables["sample_screened"])) == 1
+    assert scans(study.service_spend(tables["other_cohort"], tables["sample_screened"])) == 1
+    spend = {"stays": tables["spend_inpatient"], "services": tables["spend_services"]}
+    for name in study.COST_STUDIES:
+        assert scans(study.unit_cost_table(name, "county", tables["rates_county"], **spend)) == 0
+        assert scans(study.member_cost_table(name, tables["sample_screened"], tables["rates_county"], **spend)) == 0
+
+
+def test_reports_come_from_their_operators(results):
+    tables, *_ = results
+
+    def same(name, df):
+        assert sorted(map(repr, tables[name].collect())) == sorted(map(repr, df.collect())), name
+
+    same("demographics_coverage", audit.coverage(tables["demographics"]))
+    same("demographics_missing", audit.missingness(tables["demographics"]))
+    same("screening", cohort.screening_report(tables["counties_all"], 5))
+    same("inpatient_payments", study.inpatient_payment_completeness(tables["inpatient_claims"]))
+    same("other_payments", study.other_payment_completeness(tables["other_claims"]))
+    same("county_sizes", variation.size_summary(tables["counties"], "total_members"))
+    same("rates_distribution_states", variation.distribution(tables["rates_state"], study.RATE_MEASURES))
+    same("ranges_within_state_acute", variation.distribution(tables["within_state_acute"], ["range_rate", "range_percent"]))
+    same("ranges_within_county_acute", variation.distribution(tables["within_county_acute"], ["range_rate", "iqr_percent"]))
+    same("cost_total_distribution_members", variation.distribution(tables["cost_total_member"], ["pmpy"]))
+    same("cost_ed_ranges_within_county", variation.distribution(tables["cost_ed_within_county"], ["range_rate"]))
+    funnel = {r["name"]: r["rows"] for r in tables["sample_funnel"].collect()}
+    assert funnel["all"] == tables["demographics"].count() and funnel["under 65"] >= tables["sample"].count()
