@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.columns import flag, share, total
+from ..sources.writers import shared_folder
 
 
 def one_hot(df: DataFrame, column: str, levels: Sequence[str], prefix: str = "") -> DataFrame:
@@ -40,18 +41,24 @@ def fit_adjustment(
     by: str = "state",
     levels: Sequence[str] = codes.COHORT_AGE_LEVELS,
     features: Sequence[str] | None = None,
+    tolerance: float = 1e-6,
 ):
     """Linear model of a rate on the composition: (model, rows with a prediction).
 
-    Fitting runs a distributed job over one row per group.
+    The rows, one per group, are stored first, so that the passes of the fit and
+    the prediction don't repeat the chain of claims behind them. ``tolerance``
+    matters where the columns are dependent and the exact solver gives way to
+    the iterative one.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     inputs = list(features or [f"sum_{level}_percentage" for level in levels])
-    joined = rates.join(composition, by, "left")
+    path = shared_folder(rates.sparkSession, "adjustment")
+    rates.join(composition, by, "left").write.parquet(path)
+    joined = rates.sparkSession.read.parquet(path)
     assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(joined)
-    model = LinearRegression(featuresCol="features", labelCol=label).fit(assembled)
+    model = LinearRegression(featuresCol="features", labelCol=label, tol=tolerance).fit(assembled)
     return model, model.transform(assembled)
 
 

@@ -383,7 +383,10 @@ def line_presence(spark, folder):
     return flagged.select("claim_id", "procNotNull", "specCodeNotNull", "anyPaid")
 
 
-COMPOSITION = f"""v_aged as (select state, {AGE_CASE} as band from v_member where age < 65),
+# Every eleventh member's age is blanked, so that the missing band occurs.
+COMPOSITION = f"""v_aged as (
+  select state, {AGE_CASE} as band
+  from (select member_id, state, case when member_id % 11 <> 0 then age end as age from v_member where age < 65)),
 v_comp as (
   select state, count(*) as total,
          {", ".join(f"round(count(*) filter (band = '{b}') / count(*)::double * 100, 1) as p{i}" for i, b in enumerate(codes.COHORT_AGE_LEVELS))}
@@ -392,7 +395,8 @@ v_comp as (
 
 def age_mix(spark, folder):
     people = testbed.members(spark, folder).where(F.col("age") < 65)
-    return adjust.composition(people.withColumn("ageCat", bands("age")))
+    known = F.when(F.col("beneID") % 11 != 0, F.col("age"))
+    return adjust.composition(people.withColumn("ageCat", bands(known)))
 
 
 @query(

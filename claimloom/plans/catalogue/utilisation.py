@@ -334,10 +334,33 @@ def member_month_summary(spark, folder):
     return variation.size_summary(kept, "total_members").orderBy("summary")
 
 
-@query("regression_adjust")
+def _least_squares() -> list[str]:
+    """Named subqueries that make the band columns orthogonal one after the other, and the fitted values."""
+    n = len(codes.COHORT_AGE_LEVELS)
+    centred = ", ".join(f"p{i} - avg(p{i}) over () as c{i}" for i in range(n))
+    steps = [
+        f"v_fit0 as (select r.state, non_emergent_acute as y, {centred} from v_state_rates r join v_comp on r.state = v_comp.state)"
+    ]
+    for k in range(n - 1):
+        rest = ", ".join(
+            f"c{j} - case when sum(c{k} * c{k}) over () > 1e-9 then sum(c{j} * c{k}) over () / sum(c{k} * c{k}) over () else 0 end * c{k} as c{j}"
+            for j in range(k + 1, n)
+        )
+        steps.append(f"v_fit{k + 1} as (select state, y, {', '.join(f'c{j}' for j in range(k + 1))}, {rest} from v_fit{k})")
+    fitted = " + ".join(
+        f"case when sum(c{k} * c{k}) over () > 1e-9 then sum(y * c{k}) over () / sum(c{k} * c{k}) over () else 0 end * c{k}" for k in range(n)
+    )
+    return [*steps, f"v_fitted as (select state, avg(y) over () + {fitted} as prediction from v_fit{n - 1})"]
+
+
+@query(
+    "regression_adjust",
+    with_views("select state, round(prediction, 3) as prediction from v_fitted", STATE_RATES, COMPOSITION, *_least_squares()),
+)
 def regression_adjust(spark, folder):
     visits = rate_state(spark, folder).select("state", F.col("non_emergent_acute").alias("avoid_acute"))
-    return adjust.adjusted(visits, age_mix(spark, folder), "avoid_acute")
+    fitted = adjust.adjusted(visits, age_mix(spark, folder), "avoid_acute", tolerance=1e-12)
+    return fitted.withColumn("prediction", F.round("prediction", 3))
 
 
 @query(

@@ -91,8 +91,6 @@ def test_lookup_broadcast_is_sized_by_spark(spark, stored):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_multiplies_or_leaves_the_engine(spark, name):
-    if name == "regression_adjust":
-        pytest.skip("fits a model while the plan is built")
     text = plan(QUERIES[name](spark, FOLDER))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert word not in text
