@@ -61,7 +61,9 @@ v_months as (
          count(*) filter (o_orderkey % 40 <> 0) as member_months from orders group by o_custkey),
 v_seen as (select k, state, age, disabled from v_people union all
            select k, 'VA', age, disabled from v_people where k % 10 = 0)"""
-NOT_EXCLUDED = "state not in ({})".format(", ".join(f"'{s}'" for s in codes.EXCLUDED_STATES))
+NOT_EXCLUDED = (
+    "state not in ('AL', 'CT', 'ID', 'KY', 'MA', 'MD', 'MN', 'NE', 'NH', 'NJ', 'NY', 'OK', 'PR', 'RI', 'TN', 'TX', 'UT', 'VI')"
+)
 
 
 def people(spark, folder):

@@ -167,19 +167,27 @@ def _demo_code(divisor: int, width: int, modulus: int) -> str:
 
 
 def _demo_sql() -> str:
-    sources = {
-        "death": (2, 1, 3), "race": (3, 1, 9), "speakEnglish": (4, 1, 5), "married": (5, 2, 16),
-        "houseSize": (6, 2, 10), "fedPovLine": (7, 2, 10), "UsCitizen": (8, 1, 3), "ssdi": (9, 1, 3),
-        "ssi": (10, 1, 3), "tanf": (11, 1, 4),
+    # written out, so that a wrong code in the engine's tables shows
+    yes_no = "when v = '1' then 'yes' when v = '0' then 'no'"
+    recodes = {
+        "death": ((2, 1, 3), yes_no),
+        "race": ((3, 1, 9), "when v = '1' then 'white' when v = '2' then 'black' when v = '3' then 'asian' when v = '4' then 'native' "
+                            "when v = '5' then 'hawaiian' when v = '6' then 'multiracial' when v = '7' then 'hispanic'"),
+        "speakEnglish": ((4, 1, 5), "when v in ('0', '1') then 'yes' when v in ('2', '3') then 'no'"),
+        "married": ((5, 2, 16), "when v between '01' and '08' then 'yes' when v between '09' and '14' then 'no'"),
+        "houseSize": ((6, 2, 10), "when v = '01' then 'single' when v between '02' and '05' then 'twoToFive' "
+                                  "when v between '06' and '08' then 'sixorMore'"),
+        "fedPovLine": ((7, 2, 10), "when v = '01' then '0To100' when v between '02' and '04' then '100To200' "
+                                   "when v between '05' and '08' then '200AndMore'"),
+        "UsCitizen": ((8, 1, 3), yes_no),
+        "ssdi": ((9, 1, 3), yes_no),
+        "ssi": ((10, 1, 3), yes_no),
+        "tanf": ((11, 1, 4), "when v = '2' then 'yes' when v in ('0', '1') then 'no'"),
     }
     columns = []
-    for name, source in sources.items():
-        arms = " ".join(
-            "when v in ({}) then '{}'".format(", ".join(f"'{v}'" for v in values), label)
-            for label, values in codes.DEMOGRAPHIC_RECODES[name][1].items()
-        )
-        arms = f"case {arms} else 'missing' end".replace("v in", f"({_demo_code(*source)}) in")
-        columns.append(f'{arms} as "{name}"')
+    for name, (source, arms) in recodes.items():
+        arms = arms.replace("when v ", f"when ({_demo_code(*source)}) ")
+        columns.append(f"case {arms} else 'missing' end as \"{name}\"")
     flags = [
         f"case when c_custkey % 11 <> {i} then cast((c_custkey // {i + 2}) % {i + 3} = 0 as int) end" for i in range(7)
     ]
@@ -383,13 +391,14 @@ def line_presence(spark, folder):
     return flagged.select("claim_id", "procNotNull", "specCodeNotNull", "anyPaid")
 
 
+BANDS = ("50To64", "10To17", "40To49", "30To39", "under10", "missing", "18To29")
 # Every eleventh member's age is blanked, so that the missing band occurs.
 COMPOSITION = f"""v_aged as (
   select state, {AGE_CASE} as band
   from (select member_id, state, case when member_id % 11 <> 0 then age end as age from v_member where age < 65)),
 v_comp as (
   select state, count(*) as total,
-         {", ".join(f"round(count(*) filter (band = '{b}') / count(*)::double * 100, 1) as p{i}" for i, b in enumerate(codes.COHORT_AGE_LEVELS))}
+         {", ".join(f"round(count(*) filter (band = '{b}') / count(*)::double * 100, 1) as p{i}" for i, b in enumerate(BANDS))}
   from v_aged group by state)"""
 
 
@@ -403,8 +412,8 @@ def age_mix(spark, folder):
     "age_composition",
     with_views(
         "select state, total, "
-        + ", ".join(f'p{i} as "sum_{b}_percentage"' for i, b in enumerate(codes.COHORT_AGE_LEVELS))
-        + ", round(" + " + ".join(f"p{i}" for i in range(len(codes.COHORT_AGE_LEVELS)))
+        + ", ".join(f'p{i} as "sum_{b}_percentage"' for i, b in enumerate(BANDS))
+        + ", round(" + " + ".join(f"p{i}" for i in range(len(BANDS)))
         + ", 1) as total_percentage from v_comp",
         COMPOSITION,
     ),

@@ -10,7 +10,7 @@ from ...operators import adjust, classify, cohort, geography, rates, variation
 from .. import acute, testbed
 from ..testbed import per_session, with_views
 from .episodes import classified
-from .panel import AGE_CASE, COMPOSITION, age_mix
+from .panel import AGE_CASE, BANDS, COMPOSITION, age_mix
 from .registry import query
 
 MINIMUM = 8  # members per county; the data has 125 counties of about 12 members
@@ -336,7 +336,7 @@ def member_month_summary(spark, folder):
 
 def _least_squares() -> list[str]:
     """Named subqueries that make the band columns orthogonal one after the other, and the fitted values."""
-    n = len(codes.COHORT_AGE_LEVELS)
+    n = len(BANDS)
     centred = ", ".join(f"p{i} - avg(p{i}) over () as c{i}" for i in range(n))
     steps = [
         f"v_fit0 as (select r.state, non_emergent_acute as y, {centred} from v_state_rates r join v_comp on r.state = v_comp.state)"
@@ -367,7 +367,7 @@ def regression_adjust(spark, folder):
     "adjustment_inputs",
     with_views(
         "select r.state, non_emergent_acute as avoid_acute, "
-        + ", ".join(f'p{i} as "sum_{b}_percentage"' for i, b in enumerate(codes.COHORT_AGE_LEVELS))
+        + ", ".join(f'p{i} as "sum_{b}_percentage"' for i, b in enumerate(BANDS))
         + " from v_state_rates r left join v_comp on r.state = v_comp.state",
         STATE_RATES, COMPOSITION,
     ),
