@@ -108,6 +108,43 @@ def service_costs(
     )
 
 
+def all_costs(
+    lines: DataFrame,
+    unit: str | Sequence[str],
+    stay: Column,
+    detector: Column | None = None,
+    claim: Sequence[str] = CLAIM_GRAIN,
+    claim_type: str = "CLM_TYPE_CD",
+    header_paid: str = "MDCD_PD_AMT",
+    line_paid: str = "LINE_MDCD_PD_AMT",
+    line_equivalent: str = "LINE_MDCD_FFS_EQUIV_AMT",
+    stays_only: bool = True,
+) -> DataFrame:
+    """Inpatient, other and emergency cost per unit in one pass over lines of both kinds.
+
+    ``stay`` tells inpatient lines from service lines. Equals ``inpatient_cost``
+    left-joined to ``service_costs``; without ``stays_only``, the full join.
+    """
+    is_ed = ~stay & (ed_visit() if detector is None else detector)
+    paid, equivalent = _paid(claim_type, codes.FEE_FOR_SERVICE, line_paid), _paid(claim_type, codes.ENCOUNTER, line_equivalent)
+    per_claim = lines.groupBy(*claim, stay.alias("_stay")).agg(
+        F.avg(F.when(stay, _paid(claim_type, codes.FEE_FOR_SERVICE, header_paid))).alias("ffs_amount_ip"),
+        F.avg(F.when(stay, equivalent)).alias("mc_amount_ip"),
+        F.sum(F.when(~stay, paid)).alias("ffs_amount_other"),
+        F.sum(F.when(~stay, equivalent)).alias("mc_amount_other"),
+        F.sum(F.when(is_ed, paid)).alias("ffs_amount_ed"),
+        F.sum(F.when(is_ed, equivalent)).alias("mc_amount_ed"),
+    )
+    kinds = {"ip": "inpatient_cost", "other": "total_cost_other", "ed": "total_cost_ed"}
+    amounts = [f"{a}_amount_{k}" for k in kinds for a in ("ffs", "mc")]
+    out = per_claim.groupBy(*names(unit)).agg(*[F.sum(c).alias(c) for c in amounts], F.max(F.col("_stay").cast("int")).alias("_stays"))
+    if stays_only:
+        out = out.where(F.col("_stays") == 1)
+    return out.drop("_stays").withColumns(
+        {total: F.col(f"ffs_amount_{k}") + F.col(f"mc_amount_{k}") for k, total in kinds.items()}
+    )
+
+
 def sum_spend(spend: DataFrame, unit: str | Sequence[str]) -> DataFrame:
     """Coarser units from a cost table at member grain: every amount summed, NULL where no member has one."""
     unit = names(unit)

@@ -142,10 +142,6 @@ def scoped_claims(spark, folder):
 COSTS = ["inpatient_cost", "total_cost_ed", "total_cost_other"]
 
 
-def combined(spark, folder, unit):
-    return cost.combine_costs(inpatient(spark, folder, unit), [services(spark, folder, unit)], UNITS[unit]).select(*UNITS[unit], *COSTS)
-
-
 def combined_view(unit: str) -> str:
     keys = SQL_UNITS[unit]
     return f"""v_cost_{unit} as (
@@ -153,6 +149,27 @@ def combined_view(unit: str) -> str:
   from v_ip_{unit} left join v_ed_{unit} using ({keys}) left join v_other_{unit} using ({keys}))"""
 
 
+def combined(spark, folder, unit, stays_only=True):
+    """All three costs in one pass: the test lines hold both kinds of claim."""
+    found = cost.all_costs(
+        cost_lines(spark, folder), UNITS[unit], F.col("file_code") == "F", any_match(testbed.ED_SIGNALS), **AMOUNTS,
+        stays_only=stays_only,
+    )
+    return found.select(*UNITS[unit], *COSTS)
+
+
+@query(
+    "cost_side_by_side",
+    with_views(
+        "select fips_code, state, inpatient_cost, total_cost_ed, total_cost_other from v_cost_county",
+        LINES, ip_view("county"), ed_view("county"), other_view("county"), combined_view("county"),
+    ),
+)
+def cost_side_by_side(spark, folder):
+    stays, others = inpatient(spark, folder, "county"), services(spark, folder, "county")
+    return doubles(cost.combine_costs(stays, [others], UNITS["county"]).select(*UNITS["county"], *COSTS))
+
+
 @query(
     "cost_combined",
     with_views(
@@ -302,10 +319,7 @@ def _register_study(study: str) -> None:
 
     def member_rows(spark, folder):
         if study == "total":
-            parts = [
-                (services(spark, folder, "member"), ["total_cost_ed", "total_cost_other"]),
-                (inpatient(spark, folder, "member"), ["inpatient_cost"]),
-            ]
+            parts = [(combined(spark, folder, "member", stays_only=False), COSTS)]
         else:
             parts = [(study_costs(spark, folder, study, "member"), spec["costs"])]
         return cost.member_costs(
