@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; the arrays beside them take up to about forty times as much.
 SLICE_BYTES = 2 << 20
+#: The same where nothing is gained by seeing much text together.
+SMALL_SLICE = 512 << 10
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
@@ -47,8 +49,14 @@ def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[o[0] : o[-1]], o - o[0]
 
 
+def give_back() -> None:
+    """Return what Arrow holds of earlier batches; an idle worker would keep it until it ends."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with at most `limit` bytes of text each; a longer row comes alone."""
+    give_back()
     if not batch.num_rows:
         return
     _, offsets = flat(batch.column(batch.schema.get_field_index(column)))
@@ -82,7 +90,7 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << max(16, int(n - 1).bit_length())
         inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
         for key, base in (("up", _MULTIPLIER), ("down", inverse)):
             steps = np.full(size, base, np.uint64)
@@ -114,14 +122,6 @@ def concat_ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begins - firsts, lengths) + np.arange(total)
 
 
-def as_binary(array: np.ndarray, width: int) -> pa.Array:
-    """A numpy buffer as a column of fixed-width binary values."""
-    data = np.ascontiguousarray(array).view(np.uint8)
-    n = len(data) // width
-    offsets = (np.arange(n + 1, dtype=np.int64) * width).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

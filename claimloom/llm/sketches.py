@@ -7,9 +7,8 @@ shingle sets confirm it.
 
 Which links can be lost: of the k smallest values of a union, those in both
 sets number Binomial(k, J), and each is in both sketches. With k = 32 and
-J >= 0.8 fewer than 9 are shared with a probability of 3e-11, and two
-neighbouring ones are missing with 5e-10; candidates and estimates ask for no
-more than that. Sets of up to k shingles are compared whole.
+J >= 0.8 fewer than 9 are shared with a probability of 3e-11; candidates and
+estimates ask for no more. Sets of up to k shingles are compared whole.
 """
 
 from __future__ import annotations
@@ -19,18 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import as_binary, flat, lower_ascii, mix, prefix, BYTE_CODES, runs, signed, slices, span_hash
+from .columns import BYTE_CODES, SMALL_SLICE, flat, give_back, lower_ascii, mix, prefix, runs, signed, slices, span_hash
 from .components import components
-from .shared import stored
+from .shared import small_batches, stored
 
 SHINGLE_WORDS = 5
 SKETCH = 32
 #: Shared values of two sketches, of SKETCH, that every link has but for the chance stated above.
 LEAST_SHARED = 9
-#: Lists up to this length are compared member by member, longer ones by stars and by pairs of neighbouring values.
+#: Lists up to this length are compared member by member.
 SHORT_LIST = 64
 #: Stored keys up to this number are sent to every executor, more are shuffled.
 BROADCAST_ROWS = 500_000
@@ -72,7 +71,7 @@ def _key(docs: DataFrame) -> DataFrame:
 def _sketch(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE):
                 data, offsets = flat(part.column(2))
                 values, cut = shingle_sets(data, offsets, size)
                 lows, marks = [], []
@@ -88,67 +87,82 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _values(classes: DataFrame) -> DataFrame:
-    """One row for each retained value: value, after (the next larger one retained, or null), class, n, kept."""
+    """One row for each retained value: value, class, n, kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(2))
             values, counts = data.view(np.uint64), np.diff(offsets) // 8
             rows = np.repeat(np.arange(len(counts)), counts)
-            last = np.append(rows[1:] != rows[:-1], True)
-            after = np.append(values[1:], np.uint64(0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(values.copy())), pa.array(signed(after), mask=last), batch.column(0).take(pa.array(rows)),
+                [pa.array(signed(values.copy())), batch.column(0).take(pa.array(rows)),
                  batch.column(1).take(pa.array(rows)), pa.array(counts[rows].astype(np.int32))],
-                ["value", "after", "class", "n", "kept"],
+                ["value", "class", "n", "kept"],
             )
 
-    return classes.select("class", "n", "sketch").mapInArrow(run, "value long, after long, class long, n long, kept int")
+    return classes.select("class", "n", "sketch").mapInArrow(run, "value long, class long, n long, kept int")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least_percent: int) -> DataFrame:
     """Pairs (a, b) that the union of their sketches doesn't rule out."""
 
+    def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = flat(column)
+        counts = np.diff(offsets) // 8
+        out = np.full((len(counts), SKETCH), ~np.uint64(0))  # larger than any value but with a chance of 2^-64
+        out[np.arange(SKETCH) < counts[:, None]] = data.view(np.uint64)
+        return out, counts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                union = np.union1d(x, y)
-                if len(x) == n and len(y) == m:  # whole sets
-                    keep.append(100 * (len(x) + len(y) - len(union)) >= least_percent * len(union))
-                    continue
-                union = union[:SKETCH]
-                shared = np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)
-                keep.append(SKETCH * int(shared.sum()) >= LEAST_SHARED * len(union))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            give_back()
+            (x, x_kept), (y, y_kept) = matrix(batch.column(2)), matrix(batch.column(3))
+            both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+            twice = np.zeros(both.shape, bool)
+            twice[:, :-1] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != ~np.uint64(0))
+            again = np.zeros(both.shape, bool)
+            again[:, 1:] = twice[:, :-1]
+            place = np.cumsum(~again, axis=1)  # among the distinct values of the union
+            union = x_kept + y_kept - twice.sum(axis=1)
+            shared = (twice & (place <= SKETCH)).sum(axis=1)
+            n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            whole = (x_kept == n) & (y_kept == m)
+            keep = np.where(
+                whole, 100 * (x_kept + y_kept - union) >= least_percent * union,
+                SKETCH * shared >= LEAST_SHARED * np.minimum(union, SKETCH),
+            )
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     side = classes.select("class", "n", "sketch")
     both = pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
     return both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least_percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough; texts of other documents are not moved."""
-    pairs = stored(pairs, "pairs")
-    wanted = stored(
-        pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        .join(classes.select("class", "id", "h"), "class"), "candidates"
-    )
+def _full_sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The full shingle sets of classes (class, id, h); texts of other documents are not moved."""
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(wanted) if few else wanted, ["id", "h"]).select("class", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE):
                 values, cut = shingle_sets(*flat(part.column(1)), size)
                 sets = [values[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["class", "shingles"])
 
-    sets = stored(texts.mapInArrow(full, "class long, shingles binary").dropDuplicates(["class"]), "shingles")
+    with small_batches(docs.sparkSession, 500):
+        return stored(texts.mapInArrow(full, "class long, shingles binary").dropDuplicates(["class"]), "shingles")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least_percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
+    pairs = stored(pairs, "pairs")
+    named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = _full_sets(stored(named.join(classes.select("class", "id", "h"), "class"), "candidates"), docs, size)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
@@ -157,7 +171,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(compare, "a long, b long"), "links")
+    with small_batches(docs.sparkSession, 200):
+        return stored(both.mapInArrow(compare, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, least_percent: int = 80) -> DataFrame:
@@ -175,13 +190,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, least_percent: i
 
     Documents with equal sets are one class, and only one of a class is
     compared. In every inverted list, all are first compared with the list's
-    first class only; after that, only members of different components are:
-    in short lists one by one, in long ones where two neighbouring values of
-    the sketch agree and enough of its values stand in long lists (a class with
-    fewer shares a short list with every class it is linked with).
+    first class only; after that, only members of different components are, in
+    lists up to SHORT_LIST. A class with enough of its sketch in longer lists
+    may share none of these with a class it is linked with. Such classes are
+    joined again by the rarest values of their full sets: in short lists as
+    before, in long ones with the class that has the fewest values of its own,
+    and then where the counts of such values leave room for a link.
     """
     keyed = _key(docs)
-    rows = stored(_sketch(keyed, size), "sketches")
+    with small_batches(docs.sparkSession, 2000):
+        rows = stored(_sketch(keyed, size), "sketches")
     grouped = (
         rows.where("n > 0").groupBy("mark").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id"))
     )
@@ -205,18 +223,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, least_percent: i
     open_short = short.join(_divided(short, "value"), "value")
     pairs = _across(open_short, "value", least_percent)
 
-    long = part.where(F.col("length") > SHORT_LIST)
-    heavy = long.groupBy("class").agg(F.count("*").alias("in_long"), F.max("kept").alias("kept")).where(
+    heavy = part.where(F.col("length") > SHORT_LIST).groupBy("class").agg(F.count("*").alias("in_long"), F.max("kept").alias("kept")).where(
         F.col("in_long") * SKETCH >= F.col("kept") * LEAST_SHARED
     )
-    long = long.join(heavy.select("class"), "class").select("value", "after", "class", "n", "root", "kept")
-    follows = long.select(F.col("value").alias("after"), "class")
-    # sketches of a single value have no neighbours
-    twos = long.join(follows, ["after", "class"]).unionByName(long.where("kept = 1")).select(
-        F.hash("value", "after").alias("spread"), "value", F.coalesce("after", F.lit(0)).alias("after"), "class", "n", "root"
+    known = stored(classes.join(heavy, "class").select("class", "id", "h"), "heavy")
+    full = _prefixes(_full_sets(known, keyed, size), least_percent)
+    centres = full.where(F.col("length") > SHORT_LIST).groupBy("value").agg(
+        F.min_by("class", F.struct(F.col("own") / F.col("n"), "class")).alias("a")
+    )
+    centre = full.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a")).distinct()
+    rays = (
+        full.where(F.col("length") > SHORT_LIST).select("value", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
+        .join(centres, "value").where("a <> b").select("a", "b", "n_b", "own_b").distinct().join(centre, "a")
+        .where(_can_link(least_percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    open_long = stored(twos.join(_divided(twos, "value", "after"), ["value", "after"]), "long-lists")
-    pairs = pairs.unionByName(_across_components(open_long, least_percent)).distinct()
+    links = links.unionByName(_confirmed(_estimated(rays, classes, least_percent), classes, keyed, size, least_percent))
+    roots = components(links)
+    rooted = stored(
+        full.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "prefix-roots"
+    )
+    rare = rooted.where(F.col("length").between(2, SHORT_LIST))
+    common = rooted.where(F.col("length") > SHORT_LIST)
+    pairs = pairs.unionByName(_across(rare.join(_divided(rare, "value"), "value"), "value", least_percent)).unionByName(
+        _across(common.join(_divided(common, "value"), "value"), "value", least_percent, _can_link(least_percent))
+    ).distinct()
     more = _confirmed(_estimated(pairs, classes, least_percent), classes, keyed, size, least_percent)
 
     roots = components(links.unionByName(more))
@@ -235,36 +265,57 @@ def _divided(members: DataFrame, *keys: str) -> DataFrame:
     return members.groupBy(*keys).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*keys)
 
 
-def _fits(least_percent: int) -> F.Column:
+def _can_link(least_percent: int) -> F.Column:
+    """Whether two sets that share none of their `own` values can be similar enough.
+
+    They differ in all own values, and in the numbers of the others at least;
+    linked sets differ in (100 - p) / (100 + p) of their summed sizes at most.
+    """
+    rest = F.abs((F.col("n_a") - F.col("own_a")) - (F.col("n_b") - F.col("own_b")))
+    return (100 + least_percent) * (F.col("own_a") + F.col("own_b") + rest) <= (100 - least_percent) * (F.col("n_a") + F.col("n_b"))
+
+
+def _across(members: DataFrame, key: str, least_percent: int, also: F.Column | None = None) -> DataFrame:
+    """Pairs of one list in different components, of sizes that can be linked."""
+    columns = [c for c in ("class", "n", "root", "own") if c in members.columns]
+    left, right = (members.select(key, *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
     smaller, larger = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return 100 * smaller >= least_percent * larger
+    fits = (F.col("class_a") < F.col("class_b")) & (F.col("root_a") != F.col("root_b")) & (100 * smaller >= least_percent * larger)
+    met = left.join(right, key).where(fits if also is None else fits & also)
+    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
-def _across(members: DataFrame, key: str, least_percent: int) -> DataFrame:
-    left = members.select(key, F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = members.select(key, F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    met = left.join(right, key).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _fits(least_percent))
-    return met.select("a", "b").distinct()
+def _prefixes(sets: DataFrame, least_percent: int) -> DataFrame:
+    """The rarest values of full sets: value, length, class, n, own.
 
+    Values are ordered by the length of their lists among these sets, then by
+    value. Linked sets share a value of their first n - p/100 n + 1 ones. `own`
+    counts the values of a set in lists up to SHORT_LIST.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            give_back()
+            data, offsets = flat(batch.column(1))
+            counts = np.diff(offsets) // 8
+            rows = np.repeat(np.arange(batch.num_rows), counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(data.view(np.uint64).copy())), batch.column(0).take(pa.array(rows)), pa.array(counts[rows])],
+                ["value", "class", "n"],
+            )
 
-def _across_components(members: DataFrame, least_percent: int) -> DataFrame:
-    """Pairs of different components in long lists: components meet first, then those of their members that fit in size."""
-    keys = ["value", "after"]
-    step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / least_percent)))  # linked sets are in the same or the next step
-    stepped = members.select(*keys, "class", "n", "root", step.cast("int").alias("step"))
-    groups = stepped.groupBy(*keys, "root", "step").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
-    other = groups.select(
-        *keys, F.col("root").alias("root_b"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"),
-        F.col("step").alias("step_b"), F.col("n_low").alias("low_b"), F.col("n_high").alias("high_b"),
+    with small_batches(sets.sparkSession, 500):
+        values = stored(sets.select("class", "shingles").mapInArrow(run, "value long, class long, n long"), "heavy-values")
+    lengths = values.groupBy("value").agg(F.count("*").alias("length"))
+    placed = values.join(lengths, "value")
+    order = Window.partitionBy("class").orderBy("length", "value")
+    first = F.col("n") - F.ceil(F.col("n") * least_percent / 100) + 1
+    own = F.sum((F.col("length") <= SHORT_LIST).cast("int")).over(Window.partitionBy("class"))
+    return stored(
+        placed.withColumn("own", own).withColumn("place", F.row_number().over(order)).where(F.col("place") <= first)
+        .select("value", "length", "class", "n", "own"),
+        "prefixes",
     )
-    met = groups.join(other, [*keys, "step"]).where(
-        (F.col("root") < F.col("root_b")) & (100 * F.col("n_low") <= F.lit(1) * 10000 / least_percent * F.col("high_b"))
-        & (100 * F.col("low_b") <= F.lit(1) * 10000 / least_percent * F.col("n_high"))
-    ).select(*keys, F.col("root").alias("root_a"), F.col("step").alias("step_a"), "root_b", "step_b")
-    left = stepped.select(*keys, F.col("root").alias("root_a"), F.col("step").alias("step_a"), F.col("class").alias("a"), F.col("n").alias("n_a"))
-    right = stepped.select(*keys, F.col("root").alias("root_b"), F.col("step").alias("step_b"), F.col("class").alias("b"), F.col("n").alias("n_b"))
-    pairs = met.join(left, [*keys, "root_a", "step_a"]).join(right, [*keys, "root_b", "step_b"]).where(_fits(least_percent))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, least_percent: int = 80) -> DataFrame:
