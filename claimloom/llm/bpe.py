@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .columns import table
+from .columns import give_back, table
 
 #: Distinct matches of the split pattern whose ids a task keeps at most; beyond it, it starts afresh.
-KEPT_MATCHES = 300_000
+KEPT_MATCHES = 200_000
 
 ENCODED = "row long, doc_id long, ids array<int>"
 _DIGESTS = pa.schema([
@@ -46,9 +46,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _library(path: str):
+def _encoder(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     ranks, letters = read_ranks(path), byte_characters()
     spell = {token: "".join(letters[b] for b in token) for token in ranks}
@@ -60,12 +60,18 @@ def _library(path: str):
     ]
     encoder = Tokenizer(models.BPE({spell[t]: r for t, r in ranks.items()}, merges))
     encoder.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    table = [b""] * (max(ranks.values()) + 1)
-    # the reverse of the byte table: every character of a token's spelling back to its byte
+    return encoder
+
+
+@lru_cache(maxsize=2)
+def _table(path: str) -> list[bytes]:
+    """The bytes of every id: the reverse of the byte table, applied to the tokens' spelling."""
+    ranks, letters = read_ranks(path), byte_characters()
     back = {c: b for b, c in enumerate(letters)}
+    out = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        table[rank] = bytes(back[c] for c in spell[token])
-    return encoder, table
+        out[rank] = bytes(back[c] for c in (letters[b] for b in token))
+    return out
 
 
 class ByteBPE:
@@ -76,7 +82,7 @@ class ByteBPE:
     """
 
     def __init__(self, path: str, pattern: str):
-        self.encoder, self.table = _library(path)
+        self.path, self.table = path, _table(path)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
 
@@ -89,7 +95,7 @@ class ByteBPE:
                 if len(known) + len(new) > KEPT_MATCHES:
                     known.clear()
                     new = list(set(matches))
-                known.update(zip(new, (e.ids for e in self.encoder.encode_batch_fast(new, add_special_tokens=False))))
+                known.update(zip(new, (e.ids for e in _encoder(self.path).encode_batch_fast(new, add_special_tokens=False))))
             out.append([i for m in matches for i in known[m]])
         return out
 
@@ -120,24 +126,28 @@ class ByteBPE:
         yield decoder.decode(b"", True)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """Add `ids`, the token ids of `text`, to a table; a null text has none.
 
-    Every column and row is kept, repeated ones too; an `ids` column of the
-    input is replaced. Rows are independent: no shuffle, and memory is that of
-    one row of text and one Arrow batch.
+    With `decoded`, the bytes that the ids stand for come along. Every other
+    column and row is kept, repeated ones too; columns of these names are
+    replaced. Rows are independent: no shuffle, and memory is that of one row
+    of text and one Arrow batch.
     """
-    schema = StructType(docs.drop("ids").schema.fields + StructType.fromDDL("ids array<int>").fields)
+    new = ["ids", "decoded"] if decoded else ["ids"]
+    kinds = StructType.fromDDL("ids array<int>, decoded binary").fields[: len(new)]
+    schema = StructType(docs.drop(*new).schema.fields + kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(path, pattern)
         for batch in batches:
-            if "ids" in batch.schema.names:
-                batch = batch.drop_columns(["ids"])
+            give_back()
+            batch = batch.drop_columns([c for c in new if c in batch.schema.names])
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-                yield part.append_column("ids", pa.array(bpe.encode_batch(texts), pa.list_(pa.int32())))
+                ids = bpe.encode_batch([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])
+                out = part.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+                yield out.append_column("decoded", pa.array(map(bpe.decode_bytes, ids), pa.binary())) if decoded else out
 
     return docs.mapInArrow(run, schema)
 
@@ -149,6 +159,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(path, pattern)
         for batch in batches:
+            give_back()
             if "decoded" in batch.schema.names:
                 batch = batch.drop_columns(["decoded"])
             for begin in range(0, batch.num_rows, 256):
@@ -165,6 +176,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(path, pattern)
         for batch in batches:
+            give_back()
             counts, first, second = [], [], []
             for text in batch.column(1):
                 ids = bpe.encode_batch([text.as_py() or ""])[0]

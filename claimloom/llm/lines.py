@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .columns import BYTE_CODES, flat, mix, prefix, runs, signed, slices, span_hash
+from .columns import BYTE_CODES, SMALL_SLICE, flat, mix, prefix, runs, signed, slices, span_hash
 from .shared import stored
 
 #: A repeated run is deleted if it holds at least this many words.
@@ -58,7 +58,7 @@ def _windows(rows: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarra
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE):
                 data, offsets = flat(part.column(2))
                 rows, begins, ends = _line_limits(data, offsets)
                 word_begins, _ = runs(~((data == 0x20) | ((data >= 9) & (data <= 13))), offsets)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import BYTE_CODES, flat, lower_ascii, prefix, runs, slices, span_hash
+from .columns import BYTE_CODES, SMALL_SLICE, flat, lower_ascii, prefix, runs, slices, span_hash
 
 LANGUAGES, SOURCES, SHAPE_BINS = 32, 64, 32
 #: Beginnings of longer words, in bytes, that count beside the whole words.
@@ -276,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE):
                 tokens, cut, shape, lang, source = features(part.column(1), part.column(2), part.column(3), bins)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([tokens[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
@@ -333,7 +333,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *map(pa.array, scorer(part.column(1), part.column(2), part.column(3)))],
                     ["doc_id", "quality_probability", "toxic_probability", "keep"],
@@ -351,7 +351,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE):
                 yield part.filter(pa.array(scorer(*(part.column(k) for k in at))[2]))
 
     return docs.mapInArrow(run, docs.schema)
