@@ -50,7 +50,7 @@ class Index:
     """Stored postings of the vocabulary's words, and the end marks of all documents."""
 
     postings: DataFrame  # row, term, pos
-    documents: DataFrame  # row, doc_id, n_words
+    documents: DataFrame  # row, doc_id, h (hash of the text), n_words
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> Windows:
@@ -81,18 +81,20 @@ def index(docs: DataFrame, vocabulary: DataFrame) -> Index:
     known = _small(stored(vocabulary.unionByName(end), "terms"))
     tokens = (
         docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col("doc_id"),
+            F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.xxhash64("text").alias("h"),
             F.concat(words(F.col("text")), F.array(F.lit(""))).alias("words"),
         )
-        .select("row", "doc_id", F.posexplode("words").alias("pos", "word"))
+        .select("row", "doc_id", "h", F.posexplode("words").alias("pos", "word"))
     )
     postings = stored(
-        tokens.join(known, "word").select("row", F.when(F.col("term") == 0, F.col("doc_id")).alias("doc_id"), "term", "pos"),
+        tokens.join(known, "word").select(
+            "row", *(F.when(F.col("term") == 0, F.col(c)).alias(c) for c in ("doc_id", "h")), "term", "pos"
+        ),
         "postings",
     )
     return Index(
         postings.where("term <> 0").select("row", "term", "pos"),
-        postings.where("term = 0").select("row", "doc_id", F.col("pos").cast("long").alias("n_words")),
+        postings.where("term = 0").select("row", "doc_id", "h", F.col("pos").cast("long").alias("n_words")),
     )
 
 
@@ -192,6 +194,11 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
     rows or no hits. A word counts as hit if any occurrence of any window
     covers it.
     """
+    return _judged(docs, benchmark, size).drop("h")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """The rows of `report`, each with the hash of its text."""
     wanted = windows(benchmark, size)
     found = index(docs, wanted.vocabulary)
     matches = phrase_matches(found, wanted)
@@ -209,7 +216,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
         found.documents.join(covered, "row", "left").join(items, "row", "left")
         .select(
             "doc_id", "n_words", hits.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
-            F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"),
+            F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"), "h",
         )
     )
 
@@ -218,3 +225,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFram
     """The documents without any hit, all columns kept; of rows that share a doc_id all go if one is hit."""
     dirty = report(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("__dirty")).distinct()
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__dirty"]), "left_anti")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows without any hit, all columns kept; other rows with the same doc_id or none stay."""
+    dirty = _judged(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("__dirty"), F.col("h").alias("__h")).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__dirty"]) & (F.xxhash64(docs["text"]) == dirty["__h"]), "left_anti")

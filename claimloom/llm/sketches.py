@@ -197,6 +197,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, least_percent: i
     before, in long ones with the class that has the fewest values of its own,
     and then where the counts of such values leave room for a link.
     """
+    return _judged(docs, size, least_percent).drop("id", "h")
+
+
+def _judged(docs: DataFrame, size: int, least_percent: int) -> DataFrame:
+    """The rows of `near_duplicates`, each with the id and hash it is known by."""
     keyed = _key(docs)
     with small_batches(docs.sparkSession, 2000):
         rows = stored(_sketch(keyed, size), "sketches")
@@ -256,7 +261,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, least_percent: i
     own = F.when(F.col("id") != NO_ID, F.col("id"))
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(own)
     return rows.join(of_mark, "mark", "left").select(
-        own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), own.eqNullSafe(component).alias("kept")
+        own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), own.eqNullSafe(component).alias("kept"), "id", "h"
     )
 
 
@@ -319,7 +324,7 @@ def _prefixes(sets: DataFrame, least_percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, least_percent: int = 80) -> DataFrame:
-    """The documents that are the first of their component, all columns kept."""
-    known = near_duplicates(docs, size, least_percent)
-    gone = known.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """The documents that are the first of their component, all columns kept; other rows with the same doc_id or none stay."""
+    gone = _judged(docs, size, least_percent).where("not kept").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    own_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    return docs.join(gone, (own_id == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__h"]), "left_anti")

@@ -77,3 +77,18 @@ def test_each_stage_and_the_whole(spark, folder):
     for name in list(stages)[1:]:
         left = stages[name](spark, left, folder)
     assert sorted(map(repr, corpus_pipeline.run(spark, folder).collect())) == sorted(map(repr, left.collect()))
+
+
+def test_clean_rows_stay_beside_bad_ones_of_their_id(spark, tmp_path):
+    """Rows that share a doc_id, or have none, are judged each by its own text."""
+    own = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    docs = [(1, own("a")), (None, own("a")), (None, own("b")), (2, own("a") + " end"), (2, own("c")), (None, own("i")), (3, own("i") + " " + own("d")), (3, own("e"))]
+    table = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, own("i"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def rows(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+    single = corpus_pipeline.drop_near_copies(spark, table, str(tmp_path))
+    assert rows(single) == sorted((docs[k] for k in (0, 2, 4, 5, 6, 7)), key=repr)
+    assert rows(corpus_pipeline.drop_contaminated(spark, table, str(tmp_path))) == sorted((docs[k] for k in (0, 1, 2, 3, 4, 7)), key=repr)
