@@ -38,7 +38,11 @@ SHAPE = (
 
 @dataclass(frozen=True)
 class Settings:
-    """labelled_rows and pool_rows bound what is fitted on, whatever the corpus holds; rows are chosen by a hash of doc_id."""
+    """labelled_rows and pool_rows bound what is fitted on, whatever the corpus holds; rows are chosen by a hash of doc_id.
+
+    Labelled rows are dealt evenly to the classes (quality and toxic together);
+    what a rare class leaves free goes to the others.
+    """
 
     labelled_rows: int = 8_000
     pool_rows: int = 3_000
@@ -167,14 +171,15 @@ def _take(view, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
 
 
-def _blend(odds: np.ndarray, target: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Slope of each column of log odds and a bias: calibration of one view, or of both together."""
+def _blend(odds: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Slope of each column of log odds and a bias: calibration of one view, or of both together, rows counting by weight."""
+    weight = weight / weight.mean()
     x = np.column_stack([np.clip(odds, -30, 30), np.ones(len(odds))])
     w = np.zeros(x.shape[1])
     for _ in range(steps):  # Newton's method with a small penalty
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        slope = x.T @ (p - target) + 1e-2 * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        slope = x.T @ (weight * (p - target)) + 1e-2 * w
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
         change = np.linalg.solve(bend, slope)
         w -= np.clip(change, -1, 1)
         if np.abs(change).max() < 1e-9:
@@ -191,14 +196,21 @@ class CoTrained:
     blend: np.ndarray
 
     @classmethod
-    def fit(cls, views, sizes, target: np.ndarray, labelled: np.ndarray, settings: Settings) -> CoTrained | None:
-        """views: of all sample rows; target: 0 or 1 where labelled. None if either class is missing."""
+    def fit(cls, views, sizes, target: np.ndarray, labelled: np.ndarray, weight: np.ndarray, settings: Settings) -> CoTrained | None:
+        """views: of all sample rows; target: 0 or 1 where labelled; weight: labels that a row stands for.
+
+        None if either class is missing. Each class is split by itself; of one
+        with a single row, that row is both fitted and calibrated on. The fits
+        see the sample as it is, and the calibrations, by weight, what it stands for.
+        """
         rng = np.random.default_rng(settings.seed)
         known = rng.permutation(np.flatnonzero(labelled))
-        aside = known[: int(settings.held_out * len(known))]
-        start = known[len(aside):]
-        if min(len(set(target[aside])), len(set(target[start]))) < 2:
+        classes = [known[target[known] == c] for c in np.unique(target[known])]
+        if len(classes) < 2:
             return None
+        apart = [max(1, int(settings.held_out * len(c))) for c in classes]
+        aside = np.concatenate([c[:n] for c, n in zip(classes, apart)])
+        start = np.concatenate([c[n:] if len(c) > 1 else c for c, n in zip(classes, apart)])
         pool = np.flatnonzero(~labelled)
         rows = [start, start]
         marks = [target[start].astype(float)] * 2
@@ -209,7 +221,7 @@ class CoTrained:
                 Linear(size).fit(*_take(v, r), m, settings.steps, z)
                 for v, size, z, r, m in zip(views, sizes, (settings.word_z, 0.0), rows, marks)
             ]
-            calibrations = [_blend(m.odds(*_take(v, aside))[:, None], target[aside]) for m, v in zip(models, views)]
+            calibrations = [_blend(m.odds(*_take(v, aside))[:, None], target[aside], weight[aside]) for m, v in zip(models, views)]
             if turn == settings.rounds or not len(pool):
                 break
             for me, other in ((0, 1), (1, 0)):  # what one view is surest of, the other learns
@@ -224,7 +236,7 @@ class CoTrained:
                 marks[other] = np.append(marks[other], p[order] > 0.5)
                 left[other] = np.delete(free, order)
         odds = np.column_stack([m.odds(*_take(v, aside)) * c[0] + c[1] for m, v, c in zip(models, views, calibrations)])
-        return cls(models, calibrations, _blend(odds, target[aside]))
+        return cls(models, calibrations, _blend(odds, target[aside], weight[aside]))
 
     def probabilities(self, views) -> np.ndarray:
         odds = [m.odds(*v) * c[0] + c[1] for m, v, c in zip(self.views, views, self.calibrations)]
@@ -256,6 +268,22 @@ def _sample(rows: DataFrame, wanted: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def _sample_labels(known: DataFrame, wanted: int) -> DataFrame:
+    """Labels with the number of labels each stands for; about `wanted`, dealt evenly to the classes."""
+    kind = (F.col("quality") > 0).cast("int") * 2 + (F.col("toxic") > 0).cast("int")
+    counts = {r["kind"]: r["count"] for r in known.groupBy(kind.alias("kind")).count().collect()}
+    share, left = {}, wanted
+    for k, (c, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
+        share[c] = min(1.0, left / (len(counts) - k) / n)
+        left -= share[c] * n
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    chosen, weight = F.lit(False), F.lit(1.0)
+    for c, s in share.items():
+        chosen = F.when(kind == c, drawn < int(s * (1 << 30))).otherwise(chosen)
+        weight = F.when(kind == c, F.lit(1 / s)).otherwise(weight)
+    return known.where(chosen).withColumn("weight", weight)
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on labelled and unlabelled documents.
 
@@ -265,13 +293,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     all documents pass.
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(
-        F.min("quality").alias("quality"), F.max("toxic").alias("toxic")
+        F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic")
     )
     base = docs.where("doc_id is not null").select("doc_id", "text", "lang", "source")
-    picked_labels = _sample(known, settings.labelled_rows)
-    marked = base.join(picked_labels, "doc_id")
+    picked_labels = _sample_labels(known, settings.labelled_rows)
+    marked = base.join(F.broadcast(picked_labels), "doc_id")  # about labelled_rows rows, so texts need not be shuffled
     pool = _sample(base.select("doc_id").join(known, "doc_id", "left_anti"), settings.pool_rows)
-    pool = base.join(pool.distinct(), "doc_id").withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
+    pool = base.join(pool.distinct(), "doc_id").withColumns(
+        {"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int"), "weight": F.lit(1.0)}
+    )
     bins = settings.bins
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,14 +310,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
                 tokens, cut, shape, lang, source = features(part.column(1), part.column(2), part.column(3), bins)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([tokens[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                     pa.array([s.tobytes() for s in shape], pa.binary()), pa.array(lang), pa.array(source), part.column(4), part.column(5)],
-                    ["doc_id", "tokens", "shape", "lang", "source", "quality", "toxic"],
+                     pa.array([s.tobytes() for s in shape], pa.binary()), pa.array(lang), pa.array(source), part.column(4), part.column(5), part.column(6)],
+                    ["doc_id", "tokens", "shape", "lang", "source", "quality", "toxic", "weight"],
                 )
 
-    ddl = "doc_id long, tokens binary, shape binary, lang long, source long, quality int, toxic int"
-    both = marked.select("doc_id", "text", "lang", "source", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(
-        pool.select("doc_id", "text", "lang", "source", "quality", "toxic")
-    )
+    ddl = "doc_id long, tokens binary, shape binary, lang long, source long, quality int, toxic int, weight double"
+    columns = "doc_id", "text", "lang", "source", "quality", "toxic", "weight"
+    both = marked.select(*columns).unionByName(pool.select(*columns))
     rows = sorted(both.mapInArrow(measure, ddl).collect(), key=lambda r: (r["doc_id"], r["tokens"]))
     if not rows:
         return Model(np.zeros((len(SHAPE), SHAPE_BINS - 1)), None, None, settings)
@@ -296,9 +325,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     cuts = np.quantile(shape, np.arange(1, SHAPE_BINS) / SHAPE_BINS, axis=0).T
     meta = _meta_view(shape, np.array([r["lang"] for r in rows]), np.array([r["source"] for r in rows]), cuts)[0].reshape(len(rows), -1)
     labelled = np.array([r["quality"] is not None for r in rows])
+    weight = np.array([r["weight"] for r in rows])
     sizes = bins * LEVELS, cuts.size + len(cuts) + LANGUAGES + SOURCES
     fits = {
-        label: CoTrained.fit((text, meta), sizes, np.array([r[label] or 0 for r in rows]), labelled, settings)
+        label: CoTrained.fit((text, meta), sizes, np.array([int((r[label] or 0) > 0) for r in rows]), labelled, weight, settings)
         for label in ("quality", "toxic")
     }
     return Model(cuts, fits["quality"], fits["toxic"], settings)

@@ -65,3 +65,18 @@ def test_one_view_teaches_the_other(spark):
     model = quality.train(table, spark.createDataFrame(labels[:120], "doc_id long, quality int, toxic int"), SMALL)
     got = {r["doc_id"]: r["quality_probability"] for r in quality.score(table, model).collect()}
     assert sum((got[d] >= 0.5) == bool(q) for d, q, _ in labels[120:]) >= 0.95 * len(labels[120:])
+
+
+def test_a_rare_class_is_learnt(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    rare = {150 * k + 7 for k in range(14)}
+    docs = [(d, " ".join([rng.choice(words) for _ in range(30)] + ["villain"] * (3 * (d in rare))), "en", "s", "x", "x") for d in range(2100)]
+    labels = [(d, d % 2, int(d in rare)) for d in range(2100)]
+    table = spark.createDataFrame(docs, SCHEMA)
+    model = quality.train(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), quality.Settings(bins=1 << 12, word_z=4.0, labelled_rows=200, pool_rows=100))
+    got = {r["doc_id"]: r["toxic_probability"] for r in quality.score(table, model).collect()}
+    assert sum(got[d] >= 0.5 for d in rare) >= 12
+    assert sum(got[d] >= 0.5 for d in got.keys() - rare) <= 10
+    few = quality.train(table, spark.createDataFrame(labels[5:9], "doc_id long, quality int, toxic int"), SMALL)
+    assert few.quality and few.toxic
