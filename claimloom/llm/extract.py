@@ -2,7 +2,8 @@
 
 A page is read into blocks of text, each with the path of open elements from
 the root to its leaf. Menus, headers, footers, adverts, forms, comments and
-other parts that their element, class, id or role names as such are left out.
+other parts that their element or role names as such are left out; so are those
+that class or id name, unless they hold the article, see `_furniture`.
 For the rest, text length and punctuation are summed by tag path; the ratios
 per node are smoothed along the page, fused with the path's own and compared
 with their standard deviation. The element that holds the paths above it is the article,
@@ -43,6 +44,10 @@ DROPPED_NAMES = frozenset(
     "respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toc toolbar "
     "topbar widget widgets alert".split()
 )
+#: Names that stay furniture even if they hold article elements, as comments often do.
+STRICT_NAMES = frozenset("comment comments ad ads sponsored promo related".split())
+#: In has-sidebar or no-header the name tells of the page around, not of the element.
+_COMPOUND = re.compile(r"(?<![a-zA-Z0-9])(?:has|have|with|without|no|not|hide|show)[-_]+[a-zA-Z0-9]+", re.I)
 DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: A new element of the key closes an open one of the values.
 CLOSES = {
@@ -55,16 +60,17 @@ THRESHOLD = 0.3
 
 
 class Node:
-    __slots__ = ("parent", "name", "path", "dropped", "article", "depth")
+    __slots__ = ("parent", "name", "path", "dropped", "article", "depth", "named")
 
-    def __init__(self, parent: Node | None, name: str, label: str, dropped: bool, article: bool):
+    def __init__(self, parent: Node | None, name: str, label: str, dropped: bool, article: bool, named: str = ""):
+        self.named = named  # "", "name" or "strict"
         self.parent, self.name, self.dropped, self.article = parent, name, dropped, article
         self.path = (parent.path + "/" if parent else "") + label
         self.depth = parent.depth + 1 if parent else 0
 
 
 def _open(parent: Node, name: str, attributes: str) -> Node:
-    dropped, article, label = parent.dropped or name in DROPPED, name in ARTICLES, name
+    dropped, article, label, named = parent.dropped or name in DROPPED, name in ARTICLES, name, ""
     if name == "header" and not any(n.article for n in _up(parent)):
         dropped = True
     if attributes and not dropped:
@@ -76,12 +82,16 @@ def _open(parent: Node, name: str, attributes: str) -> Node:
                 dropped |= value.lower() in DROPPED_ROLES
                 article |= value.lower() in ("main", "article")
             elif key in ("class", "id") and name not in ("html", "body"):
-                words = {w.lower() for w in _WORD.findall(value)}
-                dropped |= bool(words & DROPPED_NAMES) and not article
-                dropped |= bool(words & {"comment", "comments", "ad", "ads", "sponsored", "promo", "related"})
+                words = {w.lower() for w in _WORD.findall(_COMPOUND.sub(" ", value))}
+                if words & STRICT_NAMES:
+                    named = "strict"
+                elif words & DROPPED_NAMES and not article:
+                    named = named or "name"
                 if key == "class" and value.strip():
                     label = name + "." + value.split()[0]
-    return Node(parent, name, label, dropped, article)
+    if named and name in INLINE:
+        dropped = True
+    return Node(parent, name, label, dropped, article, named)
 
 
 def _up(node: Node | None) -> Iterator[Node]:
@@ -90,6 +100,36 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def _furniture(found: list[tuple[Node, str]]) -> set[Node]:
+    """Elements named as furniture that are it.
+
+    Outside of articles a name doesn't count if the element holds an article
+    (comments and adverts may hold some of their own), or more than half of the
+    page's text while no article stands outside of it.
+    """
+    size: dict[Node, int] = {}
+    holds: dict[Node, int] = {}
+    total = with_article = 0
+    for node, text in found:
+        above = list(_up(node))
+        inside = next((k for k, x in enumerate(above) if x.article and x.named != "strict"), None)
+        total += len(text)
+        with_article += inside is not None
+        for k, x in enumerate(above):
+            if x.named:
+                size[x] = size.get(x, 0) + len(text)
+                holds[x] = holds.get(x, 0) + (inside is not None and inside < k)
+
+    def kept(x: Node) -> bool:
+        if any(n.article for n in _up(x.parent)):
+            return False
+        if holds[x] and x.named != "strict":
+            return True
+        return 2 * size[x] > total and holds[x] == with_article
+
+    return {x for x in size if not kept(x)}
+
+
 def blocks(page: str) -> list[tuple[Node, str]]:
     """The text blocks of a page in order, dropped parts left out, each with its innermost block element."""
     out: list[tuple[Node, str]] = []
@@ -153,7 +193,8 @@ def blocks(page: str) -> list[tuple[Node, str]]:
         if name not in VOID and not token[3].endswith("/"):
             node = _open(node, name, token[3])
     flush()
-    return out
+    gone = _furniture(out)
+    return [(n, t) for n, t in out if not any(x in gone for x in _up(n))] if gone else out
 
 
 def _content(found: list[tuple[Node, str]]) -> list[bool]:

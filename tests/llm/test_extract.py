@@ -41,3 +41,16 @@ def test_table(spark):
     want = [(1, "u", TEXT, len(TEXT))] * 2 + [(2, None, "", 0), (None, "v", "", 0)]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "with-sidebar", "no-header", "widget-page", "page sidebar_right"])
+def test_a_wrapper_with_a_listed_word_keeps_its_article(name):
+    side = "<div class='sidebar'><p>Else, where.</p></div>"
+    assert main_text(f"<body>{NOISE}<div class='{name}'><article>{ARTICLE}</article>{side}</div></body>") == TEXT
+    assert main_text(f"<body>{NOISE}<div class='{name}'><div class='post'>{ARTICLE}</div>{side}</div></body>") == TEXT
+
+
+def test_comments_go_even_if_longer_than_the_article():
+    talk = "<section class='comments'>" + "<article class='comment'><p>A long remark, with words.</p></article>" * 20 + "</section>"
+    assert main_text(f"<body><article>{ARTICLE}</article>{talk}</body>") == TEXT
+    assert main_text(f"<body><article>{ARTICLE}{talk}</article></body>") == TEXT
