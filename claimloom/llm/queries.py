@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, extract, lines, neighbours, passages, quality, sketches, suffixes
+from . import align, bpe, chat, decontaminate, extract, lines, neighbours, passages, quality, sketches, suffixes
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -144,3 +144,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return passages.shared_passages(_table(spark, folder, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    first = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return align.report(_table(spark, folder, "documents"), first, public_tokenizers.path("piece_bpe_32k.model"))
