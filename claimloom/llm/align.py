@@ -31,8 +31,6 @@ from .shared import small_batches, stored
 PART_BYTES = 1 << 20
 #: Longer texts are encoded in parts of about this many characters, cut where both tokenizers have a limit.
 PART_CHARACTERS = 1 << 17
-#: Distinct chunks of text whose ids a task keeps at most; beyond it, it starts afresh.
-KEPT_CHUNKS = 200_000
 #: Bytes of text, and distinct id pairs, after which a task begins a new slice of the input.
 SLICE_BYTES, SLICE_PAIRS = 16 << 20, 1 << 17
 #: Rows handed to a Python worker at once.
@@ -41,7 +39,6 @@ BATCH_ROWS = 1000
 SPACE = "▁"
 # A space between two Latin letters begins a token in both tokenizers.
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
-_CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
 # Characters that count as letter, digit, space or neither in every version of Unicode the libraries may hold.
 _SETTLED = re.compile("[\0-ɏͰ-ͳͶ-ͷͺ-ͽ΄-ΊΎ-ΡΣ-ԧ -⁯₠-₵"
                       "←-⏳─-⛿぀ぁ-ゖ゠-ヿ一-龥가-힣\U0001f300-\U0001faff]*")
@@ -89,12 +86,7 @@ class ByteLevel:
 
 
 class Pieces:
-    """Ids of a sentence-piece BPE model, which puts a space before the text itself.
-
-    Where no piece holds a space behind another character or a line end beside
-    one, no merge crosses such a place, and a text is encoded chunk by chunk,
-    each distinct chunk once.
-    """
+    """Ids of a sentence-piece BPE model, which puts a space before the text itself."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -106,38 +98,12 @@ class Pieces:
         self.bytes = Bytes([
             bytes([int(x[3:5], 16)]) if self.library.is_byte(k) else x.replace(SPACE, " ").encode() for k, x in enumerate(names)
         ])
-        plain = [x for k, x in enumerate(names) if not (self.library.is_byte(k) or self.library.is_control(k))]
-        self.apart = all(SPACE not in x.lstrip(SPACE) and (x == "\n" or "\n" not in x) for x in plain)
-        self.prefix = self.library.encode("\n")
-        self.known: dict[str, int] = {}
-        self.count, self.begin, self.flat = 0, np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def _learn(self, chunks: list[str]) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if len(self.known) + len(new) > KEPT_CHUNKS:
-            self.known, self.begin, self.flat = {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
-            new = list(dict.fromkeys(chunks))
-        if new:
-            skip = len(self.prefix)
-            ids = [x[skip:] for x in self.library.encode(["\n" + c for c in new], num_threads=1)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int32)])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in ids])])
-
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has."""
-        if not self.apart:
-            ids = [np.array(self.library.encode(t), np.int32) for t in texts]
-            return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], np.int64)
-        split = [_CHUNK.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
-        every = [c for x in split for c in x]
-        self._learn(every)
-        known = self.known
-        at = np.array([known[c] for c in every], np.int64)
-        lengths = np.diff(self.begin)[at] if len(at) else np.zeros(0, np.int64)
-        ids = self.flat[concat_ranges(self.begin[at], lengths)]
-        of = np.repeat(np.arange(len(texts)), [len(x) for x in split])
-        return ids, np.bincount(of, weights=lengths, minlength=len(texts)).astype(np.int64)
+
+        #: No piece has a space behind another character, so a space there begins a token.
+        self.apart = not any(SPACE in x.lstrip(SPACE) for x in names)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.int32) for x in self.library.encode(texts, num_threads=1)]
 
 
 @lru_cache(maxsize=2)
@@ -162,9 +128,8 @@ class Parts:
 
     def __init__(self, texts: list[str], first: ByteLevel, second: Pieces):
         """`texts` begin with the space that the first kind of token counts and the second kind adds."""
-        encoded = [first.encode(t) for t in texts]
-        a, many_a = np.concatenate(encoded), np.array([len(x) for x in encoded], np.int64)
-        b, many_b = second.encode_all([t[1:] for t in texts])
+        encoded, others = [first.encode(t) for t in texts], second.encode_all([t[1:] for t in texts])
+        (a, many_a), (b, many_b) = ((np.concatenate(x), np.array([len(y) for y in x], np.int64)) for x in (encoded, others))
         raw = [t.encode() for t in texts]
         size = np.array([len(x) for x in raw], np.int64)
         part_a, part_b = (np.repeat(np.arange(len(texts)), m) for m in (many_a, many_b))
@@ -236,7 +201,7 @@ def _names(size: int, inside: str, last: str) -> list[np.ndarray]:
     return [np.array([f"{k}{end}" for k in range(size)], object) for end in (inside, last)]
 
 
-def _batches_of_parts(column: pa.Array) -> Iterator[list[tuple[int, str, bool]]]:
+def _batches_of_parts(column: pa.Array, apart: bool = True) -> Iterator[list[tuple[int, str, bool]]]:
     """(row, stretch, is its last) of the texts of a column, about PART_BYTES together; texts without characters are left out."""
     held, size = [], 0
     for row, text in enumerate(column):
@@ -244,7 +209,7 @@ def _batches_of_parts(column: pa.Array) -> Iterator[list[tuple[int, str, bool]]]
         if not text:
             continue
         ahead = None
-        for part in pieces_of(" " + text):
+        for part in pieces_of(" " + text) if apart else [" " + text]:
             if ahead is not None:
                 held.append((row, ahead, False))
             ahead = part
@@ -281,7 +246,7 @@ def align(docs: DataFrame, first: tuple[str | None, ...], second: str) -> DataFr
             give_back()
             found: dict[int, list[list[np.ndarray]]] = {}
             bad, groups, shift = set(), {}, {}
-            for parts in _batches_of_parts(batch.column(batch.schema.get_field_index("text"))):
+            for parts in _batches_of_parts(batch.column(batch.schema.get_field_index("text")), encoders[1].apart):
                 x = Parts([t for _, t, _ in parts], *encoders)
                 for k, (row, text, _) in enumerate(parts):
                     if x.bad[k]:
@@ -382,7 +347,7 @@ def _encoded(docs: DataFrame, first: tuple[str | None, ...], second: str) -> Dat
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             empty = ([0, 0, 0, 0], "", np.zeros(0, np.int64), np.zeros(0, np.int64))
             met, open_row, sums, digest, keys, counts, bad = set(), None, [0] * 4, None, [], [], False
-            for parts in _batches_of_parts(texts):
+            for parts in _batches_of_parts(texts, encoders[1].apart):
                 x = Parts([t for _, t, _ in parts], *encoders)
                 many = len(parts)
                 part, link_a, link_b = x.links()
