@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, decontaminate, extract, lines, neighbours, passages, quality, sketches, suffixes
+from . import align, bpe, chat, decontaminate, extract, lines, neighbours, passages, quality, shards, sketches, suffixes
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -150,3 +150,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     first = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return align.report(_table(spark, folder, "documents"), first, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_sharding")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return shards.shard(_table(spark, folder, "documents"), 8).select(
+        "doc_id", (F.octet_length(text) + F.lit(1).cast("long")).alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
