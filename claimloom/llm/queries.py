@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, decontaminate, extract, lines, neighbours, passages, quality, shards, sketches, suffixes
+from . import align, bpe, chat, decontaminate, extract, lines, neighbours, passages, quality, shards, sketches, spelling, suffixes
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -159,3 +159,49 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + F.lit(1).cast("long")).alias("size"), F.crc32(text).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+SPELLING_SQL = """
+with recursive octets as (
+  select list(c order by i) as t
+  from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+        from (select unnest(range(256)) as i))
+), runs as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as run from documents) group by all
+), spelled as (
+  select run, n, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as digits from runs
+), hashed as (
+  select run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(0, length(digits), 2), lambda i:
+      16 * (instr('0123456789ABCDEF', digits[i + 1]) - 1) + instr('0123456789ABCDEF', digits[i + 2]) - 1)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h
+  from spelled, octets
+), words as (
+  select word, cast(sum(n) as bigint) as n from (
+    select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed)
+  group by word having length(word) >= 6 and sum(n) >= 5
+), shorter as (
+  select word, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, unnest(range(length(word))) as i from words)
+), near as (
+  select word, rest as other from shorter where rest in (select word from words)
+  union select rest, word from shorter where rest in (select word from words)
+  union select a.word, b.word from shorter a join shorter b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+), best as (
+  select word, count(*) as n_near, max(n) as best_n, first(other order by n desc, encode(other)) as best
+  from (select near.word, near.other, words.n from near join words on near.other = words.word) group by word
+), formed as (
+  select w.word, case when best_n >= 5 * n then best end as form, n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * n then best_n end as form_n
+  from words w left join best using (word)
+), walk as (
+  select word, word as at from formed
+  union all select walk.word, formed.form from walk join formed on walk.at = formed.word where formed.form is not null
+)
+select f.word, f.form, walk.at as root, f.n, f.n_near, f.form_n
+from formed f join walk on walk.word = f.word join formed e on e.word = walk.at where e.form is null
+"""
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling(_table(spark, folder, "documents"))
