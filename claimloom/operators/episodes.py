@@ -11,7 +11,8 @@ event starts an episode depends on dates alone, so the ordered pass runs over
 *intervals*: the distinct (start, end) pairs of a member, per diagnosis code
 where one is carried, counted with map-side aggregation first. Their number is
 limited by the calendar and the code list, not by the number of claims, so the
-window stays small for any member. Copies of an
+window stays small for any member. Numbers without overlap labels need less:
+the ordered pass runs over *days*, see ``_number_days``. Copies of an
 interval share its episode except in one case, an interval that cannot reach
 its own copy (no end date, or an end more than the gap before its start),
 where every copy is an episode of its own.
@@ -20,6 +21,8 @@ where every copy is an episode of its own.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -106,29 +109,69 @@ def _number_intervals(
     return out
 
 
-def number_episodes(
-    events: DataFrame,
-    keys: Sequence[str] = ("beneID", "state"),
-    start: str = "StartDate",
-    end: str = "EndDate",
-    gap_days: int = 1,
-    rule: str = "previous",
-    episode: str = "episode",
-    overlap: str | None = "ovlp",
-    few_copies: bool = False,
+def _number_days(
+    events: DataFrame, keys: Sequence[str], start: str, end: str, gap_days: int, rule: str
 ) -> DataFrame:
-    """Every event with its episode number (from 1) and overlap label.
+    """One row per member and start date: the state an ordered scan has when it reaches that day.
+
+    Segments of the scan are the days. Within one, events that cannot reach
+    their own copy come first (ends are ascending, unknown ones first), so two
+    numbers and the last end summarise it, and they combine on the map side.
+    The ordered pass over these summaries gives each day ``_base``, the number
+    of its first such event, and ``_normal``, that of all its other events.
+    """
+    alone = _starts_new(F.col(start), F.col(end), gap_days).cast("long")
+    days = events.groupBy(*keys, start).agg(
+        F.sum(alone).alias("_alone"), F.count(F.lit(1)).alias("_rows"), F.max(end).alias("_last_end")
+    )
+    ordered = W.partitionBy(*keys).orderBy(start)
+    before = ordered.rowsBetween(W.unboundedPreceding, -1)
+    all_alone = (F.col("_alone") == F.col("_rows")).cast("long")
+    if rule == "previous":
+        prior, first = F.lag("_last_end").over(ordered), F.col("_first")
+        opened, normal = first + F.col("_alone") - all_alone, first + F.col("_alone")
+    elif rule == "running_max":
+        # a day within reach of an earlier end opens nothing, whatever its own ends are
+        prior, first = F.max("_last_end").over(before), F.col("_first")
+        opened, normal = first * (1 + F.col("_alone") - all_alone), first * (1 + F.col("_alone"))
+    else:
+        raise ValueError(f"unknown rule {rule!r}")
+    numbered = days.withColumn("_first", _starts_new(F.col(start), prior, gap_days).cast("long")).withColumn(
+        "_before", F.coalesce(F.sum(opened).over(before), F.lit(0))
+    )
+    step = F.lit(1) if rule == "previous" else first
+    return numbered.select(
+        *keys, start, (F.col("_before") + first).alias("_base"), (F.col("_before") + normal).alias("_normal"), step.alias("_step")
+    )
 
-    Row-level form. Identical rows are counted, an interval's rows are spread
-    over slices by a hash of their content, the ordered pass numbers the
-    slices, and each row takes its number from its slice. No task holds more
-    than one slice of one interval.
 
-    ``few_copies`` skips counting identical rows. The result is the same; use
-    it where rows carry an identifier, so that copies of one row stay few.
+def _number_by_days(
+    events: DataFrame, keys: Sequence[str], start: str, end: str, gap_days: int, rule: str, episode: str, few_copies: bool
+) -> DataFrame:
+    """Every event with its episode number, taken from its day; only events that stand alone are ranked in theirs.
+
+    The rows of a day need no order, so they move once and are joined; the
+    join's frequent keys are split by adaptive execution.
     """
+    columns, alone = events.columns, _starts_new(F.col(start), F.col(end), gap_days)
+    day = [*keys, start]
+    # days are unique and slim: hashing them spares both sides a sort
+    days = _number_days(events, keys, start, end, gap_days, rule).withColumnsRenamed({c: f"_day_{c}" for c in day}).hint("shuffle_hash")
+    same_day = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_day_{c}")) for c in day))
+    linked = events.where(~alone).join(days, same_day).select(*columns, F.col("_normal").alias(episode))
+
+    slices, rows = _sliced(events.where(alone), keys, start, end, few_copies)
+    within_day = W.partitionBy(*day).orderBy(end, "_part").rowsBetween(W.unboundedPreceding, -1)
+    ranked = slices.withColumn("_earlier", F.coalesce(F.sum("_copies").over(within_day), F.lit(0)))
+    lone = _copies_placed(rows, ranked, keys, start, end, few_copies).join(days, same_day).select(
+        *columns, (F.col("_base") + F.col("_step") * (F.col("_earlier") + F.col("_j"))).alias(episode)
+    )
+    return linked.unionByName(lone)
+
+
+def _sliced(events: DataFrame, keys: Sequence[str], start: str, end: str, few_copies: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows spread over slices of their interval by a hash of their content, and the slices with their size."""
     columns = events.columns
-    keys = list(keys)
     rest = [c for c in columns if c not in (*keys, start, end)]
     if few_copies:
         rows = events.withColumns({"_chunk": F.lit(0).cast("long"), "_size": F.lit(1).cast("long")})
@@ -139,14 +182,19 @@ def number_episodes(
             "_size", F.least(F.lit(COPIES_PER_CHUNK), F.col("_n") - F.col("_chunk") * COPIES_PER_CHUNK)
         )
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(*rest, "_chunk"), F.lit(INTERVAL_SLICES)))
+    return rows.groupBy(*keys, start, end, "_part").agg(F.sum("_size").alias("_copies")), rows
+
+
+def _copies_placed(
+    rows: DataFrame, numbered: DataFrame, keys: Sequence[str], start: str, end: str, few_copies: bool
+) -> DataFrame:
+    """Rows with the facts of their slice and ``_j``, their place in it (0-based), one for each copy."""
+    fields = [*keys, start, end, "_part"]
+    added = ("_chunk", "_size", "_part", "_n")
+    rest = [c for c in rows.columns if c not in (*fields, *added)]
     # A slice is matched by one struct, whose equality treats NULL dates as
     # equal, behind its hash, which settles almost every comparison.
-    fields = [*keys, start, end, "_part"]
     slice_key = {"_hash": F.xxhash64(*fields), "_slice": F.struct(*fields)}
-    slices = rows.groupBy(*fields).agg(F.sum("_size").alias("_copies"))
-    numbered = _number_intervals(
-        slices, keys, start, end, ["_part"], gap_days, rule, labels=overlap is not None
-    )
     facts = [c for c in numbered.columns if c not in fields]
     # A row's place in its slice, ahead of the join: both use one sort.
     within = W.partitionBy(*slice_key).orderBy(*rest, "_chunk")
@@ -154,21 +202,44 @@ def number_episodes(
         "_before",
         F.sum("_size").over(within.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_size"),
     )
-    joined = placed.join(numbered.withColumns(slice_key).select(*slice_key, *facts), list(slice_key))
+    joined = placed.join(numbered.withColumns(slice_key).select(*slice_key, *facts), list(slice_key)).drop(*slice_key)
     if few_copies:
-        copies = joined.withColumn("_j", F.col("_before"))
-    else:
-        copies = joined.withColumn(
-            "_j", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_size") - 1))
-        )
-    out = {
-        episode: F.when(
-            F.col("_repeats"), F.col("_last") - (F.col("_copies") - 1 - F.col("_j"))
-        ).otherwise(F.col("_last"))
-    }
-    if overlap:
-        out[overlap] = F.when(F.col("_j") == 0, F.col("_first_label")).otherwise(F.col("_copy_label"))
-    return copies.select(*columns, *[c.alias(n) for n, c in out.items()])
+        return joined.withColumn("_j", F.col("_before"))
+    return joined.withColumn("_j", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_size") - 1)))
+
+
+def number_episodes(
+    events: DataFrame,
+    keys: Sequence[str] = ("beneID", "state"),
+    start: str = "StartDate",
+    end: str = "EndDate",
+    gap_days: int = 1,
+    rule: str = "previous",
+    episode: str = "episode",
+    overlap: str | None = "ovlp",
+    few_copies: bool = False,
+) -> DataFrame:
+    """Every event with its episode number (from 1) and overlap label.
+
+    Row-level form. Without labels (``overlap=None``), events take their number
+    from their day (``_number_by_days``) and move once. With labels, identical
+    rows are counted, an interval's rows are spread over slices by a hash of
+    their content, the ordered pass numbers the slices, and each row takes its
+    number and label from its slice. No task holds more than one slice of one
+    interval.
+
+    ``few_copies`` skips counting identical rows. The result is the same; use
+    it where rows carry an identifier, so that copies of one row stay few.
+    """
+    columns, keys = events.columns, list(keys)
+    if overlap is None:
+        return _number_by_days(events, keys, start, end, gap_days, rule, episode, few_copies)
+    slices, rows = _sliced(events, keys, start, end, few_copies)
+    numbered = _number_intervals(slices, keys, start, end, ["_part"], gap_days, rule, labels=True)
+    copies = _copies_placed(rows, numbered, keys, start, end, few_copies)
+    number = F.when(F.col("_repeats"), F.col("_last") - (F.col("_copies") - 1 - F.col("_j"))).otherwise(F.col("_last"))
+    label = F.when(F.col("_j") == 0, F.col("_first_label")).otherwise(F.col("_copy_label"))
+    return copies.select(*columns, number.alias(episode), label.alias(overlap))
 
 
 def collapse_episodes(
@@ -189,7 +260,7 @@ def collapse_episodes(
     combined per interval before anything is ordered: the events cross the
     network once, partly aggregated, and only intervals are sorted. Attaching
     ``members`` (one row per key) happens between the two, at interval grain;
-    its columns ``carry`` come along.
+    its columns ``carry`` come along. Numbering and grouping share one sort.
     """
     keys = list(keys)
     begin, finish = F.col(start), F.col(end)
@@ -213,28 +284,19 @@ def collapse_episodes(
     if members is not None:
         intervals = intervals.join(members.select(*keys, *carry), keys, "inner")
     numbered = _number_intervals(intervals, keys, start, end, [*coded, "_apart"], gap_days, rule)
-    lone = F.col("_repeats") & (F.col("_copies") > 1)
-    shape = [*keys, *carry, episode, *maxima, start, end]
-
-    linked = numbered.withColumn(
-        episode, F.when(lone, F.col("_last") - (F.col("_copies") - 1)).otherwise(F.col("_last"))
+    # A copy of an interval that stands alone is an episode of its own; only the
+    # first copy may belong to the one before. Copies are written out in chunks,
+    # so that no row holds a long array, and in the same pass as everything else.
+    further = F.when(F.col("_repeats"), F.col("_copies") - 1).otherwise(F.lit(0).cast("long"))
+    chunks = F.sequence(F.lit(0).cast("long"), F.ceil(further / COPIES_PER_CHUNK))
+    first_copy = F.array(F.lit(0).cast("long"))
+    chunk_copies = F.sequence((F.col("_chunk") - 1) * COPIES_PER_CHUNK + 1, F.least(F.col("_chunk") * COPIES_PER_CHUNK, F.col("_further")))
+    linked = (
+        numbered.withColumn("_further", further)
+        .withColumn("_chunk", F.explode(chunks))
+        .withColumn("_copy", F.explode(F.when(F.col("_chunk") == 0, first_copy).otherwise(chunk_copies)))
+        .withColumn(episode, F.col("_last") - F.col("_further") + F.col("_copy"))
     )
-    collapsed = linked.groupBy(*keys, *carry, episode).agg(
+    return linked.groupBy(*keys, *carry, episode).agg(
         *[F.max(c).alias(c) for c in maxima], F.min(start).alias(start), F.max(end).alias(end)
     )
-    # The further copies of an interval that stands alone. They are written out
-    # in chunks dealt to all tasks, however many one interval has. The filter
-    # is on aggregates, so this branch starts from the shuffled intervals and
-    # reads the events no second time.
-    chunk = F.floor((F.col("_copies") - 2) / COPIES_PER_CHUNK)
-    further = (
-        numbered.where(lone)
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunk)))
-        .repartition(*keys, "_last", "_chunk")
-    )
-    from_copy = F.col("_chunk") * COPIES_PER_CHUNK
-    to_copy = F.least(from_copy + COPIES_PER_CHUNK, F.col("_copies") - 1) - 1
-    further = further.withColumn("_back", F.explode(F.sequence(from_copy, to_copy))).withColumn(
-        episode, F.col("_last") - F.col("_back")
-    )
-    return collapsed.select(*shape).unionByName(further.select(*shape))

@@ -130,6 +130,11 @@ def test_against_model(spark, seed, gap, rule):
     quick = episodes.number_episodes(df, ["beneID"], gap_days=gap, rule=rule, few_copies=True)
     assert Counter((r.beneID, r.StartDate, r.EndDate, r.episode, r.ovlp) for r in quick.collect()) == got
 
+    for few in (False, True):
+        by_days = episodes.number_episodes(df, ["beneID"], gap_days=gap, rule=rule, overlap=None, few_copies=few).collect()
+        assert Counter(tuple(r)[:3] + (r.episode,) for r in by_days) == Counter((m, s, e, n) for m, s, e, _, n, _ in numbered)
+        assert Counter((r.beneID, r.StartDate, r.EndDate, r.f) for r in by_days) == Counter(events)
+
     whole = episodes.collapse_episodes(df, ["f"], ["beneID"], gap_days=gap, rule=rule)
     got = Counter((r.beneID, r.episode, r.f, r.StartDate, r.EndDate) for r in whole.collect())
     # Among copies that stand alone any may carry any number: compare without it.
@@ -186,6 +191,10 @@ def test_one_member_and_one_interval_hold_most_rows(spark, monkeypatch):
     assert Counter((r.beneID, r.StartDate, r.EndDate, r.episode, r.ovlp) for r in out) == Counter(
         (m, s, e, n, label) for m, s, e, _, n, label in numbered
     )
+    by_days = episodes.number_episodes(df, ["beneID"], overlap=None).collect()
+    assert Counter((r.beneID, r.StartDate, r.EndDate, r.episode) for r in by_days) == Counter(
+        (m, s, e, n) for m, s, e, _, n, _ in numbered
+    )
     whole = episodes.collapse_episodes(df, ["f"], ["beneID"]).collect()
     drop_number = lambda c: Counter(k[:1] + k[2:] for k in c.elements())
     got = Counter((r.beneID, r.episode, r.f, r.StartDate, r.EndDate) for r in whole)

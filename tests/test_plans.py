@@ -65,6 +65,28 @@ def test_episode_collapse_orders_intervals_not_events(stored):
     assert "localCheckpoint" not in aggregates
 
 
+def test_episode_collapse_is_one_ordered_pass(stored):
+    """One sort, two windows over it, and one read of the events."""
+    events = stored["headers"].selectExpr(
+        "BENE_ID beneID", "STATE_CD state", "SRVC_BGN_DT StartDate", "SRVC_END_DT EndDate", "1 flag"
+    )
+    tree = plan(episodes.collapse_episodes(events, ["flag"])).split("\n\n")[0]
+    assert "Union" not in tree
+    counts = [len(re.findall(rf"(?:- |\* ){name} \(", tree)) for name in ("Sort", "Window", "Scan parquet ")]
+    assert counts == [1, 2, 1]
+
+
+def test_episode_numbers_move_rows_once(stored):
+    """Rows with a usable end go through one exchange and no sort or window: only day summaries are ordered."""
+    events = stored["headers"].selectExpr(
+        "BENE_ID beneID", "STATE_CD state", "SRVC_BGN_DT StartDate", "SRVC_END_DT EndDate", "CLM_ID"
+    )
+    linked = plan(episodes.number_episodes(events, overlap=None)).split("\n\n")[0]
+    linked = linked[linked.index("ShuffledHashJoin"):]
+    left = linked[: linked.index("Scan parquet")]
+    assert left.count("Exchange") == 1 and "Sort " not in left and "Window" not in left
+
+
 def test_hot_keys_shrink_before_the_shuffle(stored):
     """Grouping operators aggregate on the map side before their exchange."""
     tree = plan(relational.exclusive(stored["lines"], "CLM_ID")).split("\n\n")[0]
