@@ -123,11 +123,19 @@ def all_costs(
     """Inpatient, other and emergency cost per unit in one pass over lines of both kinds.
 
     ``stay`` tells inpatient lines from service lines. Equals ``inpatient_cost``
-    left-joined to ``service_costs``; without ``stays_only``, the full join.
+    left-joined to ``service_costs``; without ``stays_only``, the full join. The
+    grain is mixed: claims for stays, units for service lines.
     """
+    stay = F.coalesce(stay, F.lit(False))
     is_ed = ~stay & (ed_visit() if detector is None else detector)
     paid, equivalent = _paid(claim_type, codes.FEE_FOR_SERVICE, line_paid), _paid(claim_type, codes.ENCOUNTER, line_equivalent)
-    per_claim = lines.groupBy(*claim, stay.alias("_stay")).agg(
+    unit = names(unit)
+    # A claim's identity is part of the grouping key of stay lines alone: the
+    # mean over a stay's lines needs its claim, while service lines are sums and
+    # shrink to one row of a unit on the map side.
+    finer = [c for c in claim if c not in unit]
+    grain = [F.when(stay, F.col(c)).alias(f"_claim_{c}") for c in finer]
+    per_claim = lines.groupBy(*unit, stay.alias("_stay"), *grain).agg(
         F.avg(F.when(stay, _paid(claim_type, codes.FEE_FOR_SERVICE, header_paid))).alias("ffs_amount_ip"),
         F.avg(F.when(stay, equivalent)).alias("mc_amount_ip"),
         F.sum(F.when(~stay, paid)).alias("ffs_amount_other"),
@@ -137,7 +145,7 @@ def all_costs(
     )
     kinds = {"ip": "inpatient_cost", "other": "total_cost_other", "ed": "total_cost_ed"}
     amounts = [f"{a}_amount_{k}" for k in kinds for a in ("ffs", "mc")]
-    out = per_claim.groupBy(*names(unit)).agg(*[F.sum(c).alias(c) for c in amounts], F.max(F.col("_stay").cast("int")).alias("_stays"))
+    out = per_claim.groupBy(*unit).agg(*[F.sum(c).alias(c) for c in amounts], F.max(F.col("_stay").cast("int")).alias("_stays"))
     if stays_only:
         out = out.where(F.col("_stays") == 1)
     return out.drop("_stays").withColumns(
