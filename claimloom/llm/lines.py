@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from .shared import stored
 
 #: A repeated run is deleted if it holds at least this many words.
 MIN_WORDS = 10
+#: The polynomial hashes of lines longer than this can fail together on regular patterns; one of them gives way to a real digest.
+LONG_LINE = 256
 NO_ID = -(1 << 63)
 _OTHER_CODES = mix(BYTE_CODES)
 PLACE = ["id", "h", "i"]
@@ -65,6 +68,8 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
                 words = np.searchsorted(word_begins, ends) - np.searchsorted(word_begins, begins)
                 ahead, behind = _windows(rows, words, least)
                 a, b = (signed(span_hash(prefix(codes[data]), begins, ends)) for codes in (BYTE_CODES, _OTHER_CODES))
+                for k in np.flatnonzero(ends - begins > LONG_LINE):
+                    b[k] = int.from_bytes(blake2b(data[begins[k] : ends[k]], digest_size=8).digest(), "little", signed=True)
                 firsts = np.searchsorted(rows, rows)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(

@@ -40,7 +40,7 @@ _OTHER_CODES = mix(BYTE_CODES)
 #: Pass 3 cuts the offsets that an anchor can have in a window into so many stretches.
 CORES = 4
 _ANCHOR = np.dtype([
-    ("g", "<u8"), ("c", "<u8"), ("id", "<i8"), ("h", "<i4"), ("lo", "<i4"), ("n", "<u2"), ("back", "<u2"), ("cores", "<u2", (CORES,)),
+    ("g", "<u8"), ("c", "<u8"), ("id", "<i8"), ("h", "<i8"), ("lo", "<i4"), ("n", "<u2"), ("back", "<u2"), ("cores", "<u2", (CORES,)),
 ])
 COPY, OPEN = 0, 1
 
@@ -152,7 +152,7 @@ def _sorted_by_bucket(packed: DataFrame, finish: Callable[[list[bytes]], Iterato
         if held:
             yield from finish(held)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, h int, lo int, n int, kind int")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, h long, lo int, n int, kind int")
 
 
 def _spans(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _spans(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
     return _sorted_by_bucket(packed, lambda held: _sorted(held, depth))
 
 
-_COPY = np.dtype([("id", "<i8"), ("h", "<i4"), ("lo", "<i4"), ("n", "<u4")])
+_COPY = np.dtype([("id", "<i8"), ("h", "<i8"), ("lo", "<i4"), ("n", "<u4")])
 
 
 def _pack(rows: np.ndarray) -> bytes:
@@ -182,7 +182,7 @@ def _pack(rows: np.ndarray) -> bytes:
 
 
 def _out(rows: np.ndarray, kind: int) -> pa.RecordBatch:
-    columns = [pa.array(np.ascontiguousarray(rows[x]).astype(t)) for x, t in (("id", "i8"), ("h", "i4"), ("lo", "i4"), ("n", "i4"))]
+    columns = [pa.array(np.ascontiguousarray(rows[x]).astype(t)) for x, t in (("id", "i8"), ("h", "i8"), ("lo", "i4"), ("n", "i4"))]
     return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows), kind, np.int32))], ["id", "h", "lo", "n", "kind"])
 
 
@@ -237,10 +237,10 @@ def _lists(spans: DataFrame, merged: int | None = None) -> DataFrame:
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lo, kind), pa.array(n, kind)], ["id", "h", "lo", "n"])
 
-    return lists.mapInArrow(run, "id long, h int, lo array<int>, n array<int>")
+    return lists.mapInArrow(run, "id long, h long, lo array<int>, n array<int>")
 
 
-_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("h", "<i4"), ("lo", "<i4"), ("n", "<u2")])
+_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("h", "<i8"), ("lo", "<i4"), ("n", "<u2")])
 
 
 def _windows(docs: DataFrame, stretches: DataFrame, buckets: int, depth: int) -> DataFrame:
@@ -312,7 +312,7 @@ def report(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     first. An empty table gives no rows.
     """
     keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("h"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     joined = _with_spans(keyed, _lists(repeated(keyed, depth), depth)).select("id", "h", F.col("text").cast("binary").alias("text"), "lo", "n")
