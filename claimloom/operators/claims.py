@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.columns import all_present, flag, present
+from ..sources.writers import save_buckets
 from .relational import whole_levels
 
 CLAIM_KEYS = ("BENE_ID", "STATE_CD", "CLM_ID")
@@ -32,6 +33,28 @@ def assemble_claims(
     return lines.where(all_present(keys)).join(wanted, keys, "inner")
 
 
+def bucketed_claims(
+    lines: DataFrame,
+    headers: DataFrame,
+    name: str,
+    buckets: int,
+    keys: Sequence[str] = CLAIM_KEYS,
+    folder: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Lines and headers stored side by side for assembly: both in the same buckets of the claim keys.
+
+    Assembling, collapsing to claims and counting completeness then start from
+    the files without moving a row, as often as they are run. Rows without all
+    keys take part in none of these and are left out, which also keeps them from
+    filling one bucket; what is left spreads by claim, of bounded size each.
+    """
+    stored = []
+    for part, df in (("line", lines), ("header", headers)):
+        path = f"{folder}/{part}" if folder else None
+        stored.append(save_buckets(df.where(all_present(keys)), f"{name}_{part}", keys, buckets, path))
+    return stored[0], stored[1]
+
+
 def presence_flags(lines: DataFrame, fields: Mapping[str, str], any_of: Mapping[str, Sequence[str]] = {}) -> DataFrame:
     """0/1 columns saying which fields hold a value, and which groups hold any."""
     flagged = lines.withColumns({name: present(column) for name, column in fields.items()})

@@ -27,6 +27,20 @@ def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), path:
     return df.sparkSession.table(name)
 
 
+def save_buckets(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """Overwrite a table bucketed and sorted by keys; joins and aggregates on them read it without an exchange.
+
+    Rows are dealt by the same hash first, so every bucket is one file. Choose
+    `buckets` by size (about the bytes of the larger side over 256 MB) and the
+    same for every table that is joined; a bucket is one task of such a join.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def save_csv(df: DataFrame, path: str) -> None:
     df.write.format("csv").option("header", "true").mode("overwrite").save(path)
 
@@ -34,12 +48,12 @@ def save_csv(df: DataFrame, path: str) -> None:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    A local session without that setting (tests) gets a temporary folder; a
-    cluster must name the shared folder itself.
+    A session in one process without that setting (tests) gets a temporary
+    folder; a cluster, `local-cluster` too, must name the shared folder itself.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         base = tempfile.mkdtemp(prefix="claimloom-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

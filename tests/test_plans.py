@@ -46,6 +46,24 @@ def test_filters_and_columns_reach_the_scan(stored):
     assert schemas and not any("unused" in s or "REV_CNTR_CD" in s for s in schemas)
 
 
+def test_stored_buckets_are_joined_in_place(spark, stored, tmp_path):
+    """Second and later assemblies, and claim-level aggregates, start from the files without an exchange."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        lines, headers = claims.bucketed_claims(stored["lines"], stored["headers"], "bucketed", 4, folder=str(tmp_path))
+        joined = claims.assemble_claims(lines, headers)
+        flags = claims.claim_flags(claims.presence_flags(joined, {"dated": "SRVC_BGN_DT"}), ["dated"])
+        assert "Exchange" not in plan(joined) and "Exchange" not in plan(flags) and "SortMergeJoin" in plan(joined)
+        same = claims.assemble_claims(stored["lines"], stored["headers"])
+        assert sorted(map(tuple, joined.select(*same.columns).collect())) == sorted(map(tuple, same.collect()))
+        assert flags.count() == same.select("BENE_ID", "STATE_CD", "CLM_ID").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("bucketed_line", "bucketed_header"):
+            spark.sql(f"drop table if exists {name}")
+
+
 def test_state_scope_reaches_both_sides(stored):
     lines = stored["lines"].withColumnsRenamed({"BENE_ID": "beneID", "STATE_CD": "state"})
     sample = stored["headers"].withColumnsRenamed({"BENE_ID": "beneID", "STATE_CD": "state"})
