@@ -18,12 +18,23 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Let Python workers get at most `rows` rows at once in what is executed inside, for rows that may be large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int):
+    """Let Python workers get at most `rows` rows at once in what is executed inside, for rows that may be large."""
+    return _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def freed_shuffles(spark: SparkSession):
+    """Remove the shuffle files of a step when it has ended; inside, every step must end in a stored table."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
