@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.columns import all_present, county_key
+from .prefilter import restrict_early
 from .relational import exclusive, names, one_row_per, restrict
 
 MEMBER_KEYS = ("beneID", "state")
@@ -103,6 +104,15 @@ def scoped_claims(
     states: Sequence[str],
     keys: Sequence[str] = MEMBER_KEYS,
     state: str = "state",
+    false_positives: float | None = None,
 ) -> DataFrame:
-    """Claims of sample members in the listed states. The state filter reaches both scans."""
-    return restrict(claims.where(F.col(state).isin(*states)), sample, keys)
+    """Claims of sample members in the listed states. The state filter reaches both scans.
+
+    With ``false_positives`` other members' claims go at the scan, all but about
+    that share of them, by a filter built from the sample; the rows returned are
+    the same. For samples that are small beside the claims; store them first.
+    """
+    scoped = claims.where(F.col(state).isin(*states))
+    if false_positives is None:
+        return restrict(scoped, sample, keys)
+    return restrict_early(scoped, sample, keys, rate=false_positives)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ...functions import codes
 from ...functions.columns import any_match
-from ...operators import cohort, cost, geography, relational, variation
+from ...operators import cohort, cost, geography, relational, selection, variation
+from ...sources import writers
 from .. import testbed
 from ..testbed import per_session, with_views
 from .episodes import claims
@@ -119,26 +120,37 @@ for _unit in UNITS:
 SCOPE = tuple(f"NATION_{i}" for i in range(0, 24, 3))
 
 
-@query(
-    "scoped_claims",
-    with_views(
-        "select claim_id, line_num, member_id, state from v_cost_line where state in ({}) and fips_code in "
-        "(select fips_code from v_sizes where total_members >= {})".format(
-            ", ".join(f"'{s}'" for s in SCOPE), MINIMUM
-        ),
-        LINES, SIZES,
+SCOPED = with_views(
+    "select claim_id, line_num, member_id, state from v_cost_line where state in ({}) and fips_code in "
+    "(select fips_code from v_sizes where total_members >= {})".format(
+        ", ".join(f"'{s}'" for s in SCOPE), MINIMUM
     ),
+    LINES, SIZES,
 )
-def scoped_claims(spark, folder):
+
+
+def scoped(spark, folder, lines, false_positives=None):
     kept = cohort.minimum_population(sizes(spark, folder), MINIMUM)
     sample = cohort.screen(testbed.members(spark, folder), kept)
-    scoped = cohort.scoped_claims(cost_lines(spark, folder, False), sample, SCOPE)
-    return scoped.select(
+    if false_positives:
+        sample = writers.stored(sample.select(*cohort.MEMBER_KEYS), "sample")
+    return cohort.scoped_claims(lines, sample, SCOPE, false_positives=false_positives).select(
         F.col("CLM_ID").alias("claim_id"), F.col("LINE_NUM").alias("line_num"),
         F.col("beneID").alias("member_id"), "state",
     )
 
 
+@query("scoped_claims", SCOPED)
+def scoped_claims(spark, folder):
+    return scoped(spark, folder, cost_lines(spark, folder, False))
+
+
+@query("scoped_claims_filtered", SCOPED)
+def scoped_claims_filtered(spark, folder):
+    """The same; other members' claims go by a filter built from the stored sample, before they move."""
+    return scoped(spark, folder, cost_lines(spark, folder, False), false_positives=0.01)
+
+
 COSTS = ["inpatient_cost", "total_cost_ed", "total_cost_other"]
 
 
@@ -360,6 +372,15 @@ def _register_study(study: str) -> None:
     def member_distribution(spark, folder):
         return variation.distribution(member_rows(spark, folder), ["pmpy"], accuracy=ACCURACY)
 
+    @query(
+        f"pmpy_quantiles_members_{study}",
+        with_views(_distribution_sql("v_member_cost", ("pmpy", *spec["costs"])), *members_sql),
+    )
+    def member_quantiles(spark, folder):
+        """Exact at any number of members: stored once, then counted in bins."""
+        rows = writers.stored(member_rows(spark, folder).select("pmpy", *spec["costs"]), "member-costs")
+        return selection.exact_quantiles(rows, ["pmpy", *spec["costs"]])
+
 
 for _study in STUDIES:
     _register_study(_study)
